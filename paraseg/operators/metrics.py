@@ -24,13 +24,32 @@ SCORES_PER_PART = 100_000
 BatchScorer = Callable[[pd.DataFrame], pd.Series]
 
 
-def segment_stats(aligned: DataFrame, words: bool = True, chars: bool = True) -> DataFrame:
-    """Per segment, the clipped n-gram counts as structs ``words`` and ``chars``."""
+def model_score(scorer: BatchScorer) -> Column:
+    """A model's score of ``src, cand, ref``; ``scorer`` sees batches of ``src, mt, ref``."""
+
+    def score(
+        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
+    ) -> Iterator[pd.Series]:
+        for src, mt, ref in batches:
+            yield pd.Series(scorer(pd.DataFrame({"src": src, "mt": mt, "ref": ref}))).astype(float)
+
+    return F.pandas_udf(score, "double")("src", "cand", "ref")
+
+
+def segment_stats(
+    aligned: DataFrame, words: bool = True, chars: bool = True, scorer: BatchScorer | None = None
+) -> DataFrame:
+    """Per segment: clipped n-gram counts (``words``, ``chars``) and model ``score``.
+
+    All of it is computed where the aligned row is; nothing is shuffled.
+    """
     columns = []
     if words:
         columns.append(word_stats(F.col("cand"), F.col("ref")).alias("words"))
     if chars:
         columns.append(char_stats(F.col("cand"), F.col("ref")).alias("chars"))
+    if scorer is not None:
+        columns.append(model_score(scorer).alias("score"))
     return aligned.select(*SCORED, *columns)
 
 
@@ -52,62 +71,51 @@ def _summed(column: str, order: int) -> Column:
     ).alias(column)
 
 
-def corpus_stats(
-    aligned: DataFrame, keys: list[str] = RUN, words: bool = True, chars: bool = True
-) -> DataFrame:
-    """The counts summed over each group; only these few numbers are shuffled."""
+def corpus_stats(stats: DataFrame, keys: list[str] = RUN) -> DataFrame:
+    """The segment counts summed over each group; only these few numbers are shuffled."""
     sums = [F.count("*").alias("n_segments")]
-    if words:
+    if "words" in stats.columns:
         sums.append(_summed("words", WORD_ORDER))
-    if chars:
+    if "chars" in stats.columns:
         sums.append(_summed("chars", CHAR_ORDER))
-    return segment_stats(aligned, words, chars).groupBy(*keys).agg(*sums)
+    if "score" in stats.columns:
+        sums.append(F.avg("score").alias("comet"))
+    return stats.groupBy(*keys).agg(*sums)
 
 
-def corpus_scores(
-    aligned: DataFrame, keys: list[str] = RUN, words: bool = True, chars: bool = True
-) -> DataFrame:
-    """Corpus BLEU and chrF per group, from the summed counts."""
+def corpus_scores(stats: DataFrame, keys: list[str] = RUN) -> DataFrame:
+    """Corpus BLEU and chrF per group, from the summed counts, and the mean model score.
+
+    Columns for which ``stats`` has no data are left out.
+    """
     columns = []
-    if words:
+    if "words" in stats.columns:
         columns += [scores.bleu("words").alias("bleu"), scores.bleu_signature().alias("bleu_signature")]
-    if chars:
+    if "chars" in stats.columns:
         columns.append(scores.chrf("chars").alias("chrf"))
-    return corpus_stats(aligned, keys, words, chars).select(*keys, "n_segments", *columns)
+    if "score" in stats.columns:
+        columns.append(F.col("comet"))
+    return corpus_stats(stats, keys).select(*keys, "n_segments", *columns)
 
 
 def score_segments(aligned: DataFrame, scorer: BatchScorer) -> DataFrame:
-    """One model score per segment; ``scorer`` sees batches of ``src, mt, ref``."""
-    rows = aligned.select(*SCORED, "src", F.col("cand").alias("mt"), "ref")
-    schema = rows.select(*SCORED, F.lit(0.0).alias("score")).schema
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = scorer(batch[["src", "mt", "ref"]])
-            if len(values) != len(batch):
-                raise ValueError(f"Scorer returned {len(values)} scores for {len(batch)} segments.")
-            yield batch[SCORED].assign(score=pd.Series(values).astype(float).to_numpy())
-
-    return rows.mapInPandas(score, schema)
+    return segment_stats(aligned, words=False, chars=False, scorer=scorer)
 
 
 def system_scores(segment_scores: DataFrame, keys: list[str] = RUN) -> DataFrame:
     return segment_scores.groupBy(*keys).agg(F.avg("score").alias("comet"))
 
 
-def score_record(corpus: DataFrame, system: DataFrame | None = None) -> DataFrame:
+def score_record(corpus: DataFrame) -> DataFrame:
     """Rounded scores per run and mode; the model score is null if there is none."""
-    if system is None:
-        rows = corpus.withColumn("comet", F.lit(None).cast("double"))
-    else:
-        rows = corpus.join(system, RUN, "left")
-    return rows.select(
+    comet = F.col("comet") if "comet" in corpus.columns else F.lit(None).cast("double")
+    return corpus.select(
         *RUN,
         "n_segments",
         F.round("bleu", 2).alias("bleu"),
         F.round("chrf", 2).alias("chrf"),
         "bleu_signature",
-        F.round("comet", 4).alias("comet"),
+        F.round(comet, 4).alias("comet"),
     )
 
 

@@ -20,7 +20,7 @@ from paraseg.plans.scoring import score
 from paraseg.session import shared_dir
 from paraseg.sources import naming, records
 from paraseg.sources.pairs import read_pairs
-from paraseg.sources.segments import read_segments, split_documents, write_segments
+from paraseg.sources.segments import read_segments, write_segments
 from workload import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{name}"
 
 
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.segment_stats(fx.aligned(spark, sf_dir), scorer=fx.length_ratio)
+
+
 # Sources and sinks
 
 
@@ -80,12 +84,9 @@ def s3_pairs_scan(spark, sf_dir):
 @query
 def s4_scores_io(spark, sf_dir):
     path = scratch(spark)
-    aligned = fx.aligned(spark, sf_dir)
-    segment_scores = metrics.score_segments(aligned, fx.length_ratio)
-    record = metrics.score_record(
-        metrics.corpus_scores(aligned), metrics.system_scores(segment_scores)
-    )
-    records.write_score_records(metrics.nest_scores(record, segment_scores), path)
+    stats = _stats(spark, sf_dir)
+    record = metrics.score_record(metrics.corpus_scores(stats))
+    records.write_score_records(metrics.nest_scores(record, stats.select(*SCORED, "score")), path)
     read = records.read_score_records(spark, path)
     rows = records.record_segments(read).select(*SCORED, "score")
     summary = read.groupBy(*RUN).agg(
@@ -324,14 +325,15 @@ def m2_ngram_stats(spark, sf_dir):
 
 @query
 def m3_bleu(spark, sf_dir):
-    rows = metrics.corpus_scores(fx.aligned(spark, sf_dir), chars=False)
+    rows = metrics.corpus_scores(metrics.segment_stats(fx.aligned(spark, sf_dir), chars=False))
     return rows.select(*RUN, "n_segments", six("bleu"))
 
 
 @query
 def m3_bleu_by_document(spark, sf_dir):
     """Any grouping works: here every document is a corpus of its own."""
-    rows = metrics.corpus_scores(fx.aligned(spark, sf_dir), [*DOCUMENT, "mode"], chars=False)
+    stats = metrics.segment_stats(fx.aligned(spark, sf_dir), chars=False)
+    rows = metrics.corpus_scores(stats, [*DOCUMENT, "mode"])
     return rows.select(*DOCUMENT, "mode", "n_segments", six("bleu"))
 
 
@@ -349,7 +351,7 @@ def m5_char_stats(spark, sf_dir):
 
 @query
 def m6_chrf(spark, sf_dir):
-    rows = metrics.corpus_scores(fx.aligned(spark, sf_dir), words=False)
+    rows = metrics.corpus_scores(metrics.segment_stats(fx.aligned(spark, sf_dir), words=False))
     return rows.select(*RUN, "n_segments", six("chrf"))
 
 
@@ -366,9 +368,7 @@ def m8_system_score(spark, sf_dir):
 
 
 def _record(spark, sf_dir) -> DataFrame:
-    aligned = fx.aligned(spark, sf_dir)
-    system = metrics.system_scores(metrics.score_segments(aligned, fx.length_ratio))
-    return metrics.score_record(metrics.corpus_scores(aligned), system)
+    return metrics.score_record(metrics.corpus_scores(_stats(spark, sf_dir)))
 
 
 @query
@@ -436,9 +436,7 @@ def u6_summary(spark, sf_dir):
 
 @query
 def r1_comparison(spark, sf_dir):
-    aligned = fx.aligned(spark, sf_dir)
-    system = metrics.system_scores(metrics.score_segments(aligned, fx.length_ratio))
-    return compare.comparison(metrics.corpus_scores(aligned).join(system, RUN))
+    return compare.comparison(metrics.corpus_scores(_stats(spark, sf_dir)))
 
 
 @query
