@@ -25,7 +25,7 @@ CHAR_ORDER = 6
 PARTS = ("match", "cand", "ref")
 
 # Symbols sorted at once; keeps the working arrays inside the CPU cache.
-SLICE_SYMBOLS = 400_000
+SLICE_SYMBOLS = 100_000
 
 # Executors need no copy of this package: the functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

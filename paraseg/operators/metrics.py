@@ -31,7 +31,10 @@ def model_score(scorer: BatchScorer) -> Column:
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.Series]:
         for src, mt, ref in batches:
-            yield pd.Series(scorer(pd.DataFrame({"src": src, "mt": mt, "ref": ref}))).astype(float)
+            values = scorer(pd.DataFrame({"src": src, "mt": mt, "ref": ref}))
+            if len(values) != len(mt):
+                raise ValueError(f"Scorer returned {len(values)} scores for {len(mt)} segments.")
+            yield pd.Series(values).astype(float)
 
     return F.pandas_udf(score, "double")("src", "cand", "ref")
 

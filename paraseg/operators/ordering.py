@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paraseg.session import broadcast_if_small, checkpointed
+from paraseg.session import broadcast_if_small, written
 
 # Hash prefixes of four hex digits: the number of buckets is fixed, their sizes
 # are even because the hash is.
@@ -43,7 +43,7 @@ def number_by_range(df: DataFrame, key: str) -> DataFrame:
     The rows are range-partitioned and sorted, then written once, so that the
     partition numbers are settled before they are counted.
     """
-    ordered = checkpointed(
+    ordered = written(
         df.repartitionByRange(key)
         .sortWithinPartitions(key)
         .withColumn("_part", F.spark_partition_id())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paraseg.fixed import MAX_LENGTH, MIN_LENGTH, SAMPLE_LIMIT, SAMPLE_SEED
 from paraseg.operators.corpus import filter_pairs, normalise_pairs, sample_pairs
-from paraseg.session import checkpointed
+from paraseg.session import written
 from paraseg.sources.naming import dataset_tag
 from paraseg.sources.pairs import read_pairs
 from paraseg.sources.segments import write_segments
@@ -41,7 +41,7 @@ def build_corpus(
     stem = parquet.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
     pairs = read_pairs(spark, parquet, source, target)
     # Tag and both files need the sample; draw it once.
-    sample = checkpointed(sample_corpus(pairs, limit, seed, min_len, max_len))
+    sample = written(sample_corpus(pairs, limit, seed, min_len, max_len))
     tag = dataset_tag(sample, stem, seed).first()["tag"]
     paths = []
     for side, lang in (("src", source), ("ref", target)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once, as a table in the shared folder, and read on from there.
+
+    Cuts the lineage, survives lost executors, and runs what is behind ``df``
+    exactly once, which matters for paid calls. Later steps read only the
+    columns they use, and the planner knows the size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,7 +66,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     For pre-aggregated tables: the rows are written once and counted, so the
     check does not run the aggregation twice.
     """
-    df = checkpointed(df)
+    df = written(df)
     return F.broadcast(df) if df.count() <= max_rows else df
 
 

@@ -1,0 +1,120 @@
+"""Aligned segment files: reading in splits, part files, writing."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import segments, texts_of
+from paraseg import session
+from paraseg.sources.segments import read_segments, rows_with_line_ends, write_segments
+
+FILES = {
+    "plain": "a\nb\nc\n",
+    "no_final_newline": "a\nb",
+    "crlf": "a\r\nb\rc\r\n",
+    "inner_blank": "a\n\n  \nb\n",
+    "trailing_blank": "a\nb  \n\n \t\n\n",
+    "other_ends": "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h i\n",
+    "end_at_eof": "a\x0b",
+    "all_blank": "\n \n",
+    "unicode": "é \n\U0001F600\n",
+    "empty": "",
+}
+
+
+def lines(text):
+    found = text.splitlines()
+    while found and not found[-1].strip():
+        found.pop()
+    return found
+
+
+def by_stem(frame):
+    documents = {}
+    for row in frame.orderBy("doc_id", "seg_id").collect():
+        documents.setdefault(row["doc_id"].rsplit("/", 1)[-1].removesuffix(".txt"), []).append(
+            (row["seg_id"], row["text"])
+        )
+    return documents
+
+
+def test_lines_of_files(spark, tmp_path):
+    for name, text in FILES.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    found = by_stem(read_segments(spark, str(tmp_path)))
+    for name, text in FILES.items():
+        assert found.get(name, []) == list(enumerate(lines(text))), name
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_line_numbers_are_dense_over_many_splits(spark, tmp_path, monkeypatch, broadcast_rows):
+    """Also beyond the size up to which the table of splits is broadcast."""
+    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (broadcast_rows,))
+    rng = random.Random(5)
+    texts = {}
+    for name in ("one", "two", "three"):
+        rows = ["".join(rng.choice("ab é\x0b\n") for _ in range(rng.randint(0, 60))) for _ in range(800)]
+        texts[name] = "\n".join(rows) + "\nend\n\n\n"
+        (tmp_path / f"{name}.txt").write_bytes(texts[name].encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        frame = read_segments(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        found = by_stem(frame)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, text in texts.items():
+        assert found[name] == list(enumerate(lines(text)))
+
+
+def test_written_documents_read_back(spark, tmp_path):
+    kept = ["a", "", "  b ", "é ", "last"]
+    frame = segments(spark, kept).unionByName(segments(spark, list("xyz"), run_id="r2", doc_id="7"))
+    write_segments(frame, str(tmp_path / "out"))
+    back = read_segments(spark, str(tmp_path / "out"))
+    assert texts_of(back.filter("doc_id = 'd' and run_id = 'r'")) == kept
+    assert texts_of(back.filter("doc_id = '7' and run_id = 'r2'")) == list("xyz")
+
+
+def test_part_files_join_in_line_order(spark, tmp_path):
+    texts = [f"line {i}" for i in range(2000)]
+    frame = segments(spark, texts).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_segments(frame, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted((tmp_path / "out" / "run_id=r" / "doc_id=d").glob("part-*"))
+    assert len(parts) > 1
+    assert "".join(p.read_text() for p in parts).splitlines() == texts
+    folder = read_segments(spark, str(tmp_path / "out" / "run_id=r" / "doc_id=d"), document="directory")
+    assert texts_of(folder) == texts
+    assert [r["seg_id"] for r in folder.orderBy("seg_id").collect()] == list(range(2000))
+
+
+def test_segments_with_line_ends(spark, tmp_path):
+    frame = segments(spark, ["fine", "bro ken"])
+    assert rows_with_line_ends(frame).count() == 1
+    with pytest.raises(Exception, match="Segment 1 contains a line end"):
+        write_segments(frame, str(tmp_path / "strict"), on_line_end="error")
+    write_segments(frame, str(tmp_path / "kept"))
+    assert texts_of(read_segments(spark, str(tmp_path / "kept"))) == ["fine", "bro", "ken"]
+
+
+def test_no_segments(spark, tmp_path):
+    (tmp_path / "empty.txt").write_text("\n")
+    assert read_segments(spark, str(tmp_path)).count() == 0
+
+
+def test_arguments_are_checked(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_segments(spark, str(tmp_path), document="line")
+    with pytest.raises(ValueError):
+        write_segments(segments(spark, ["a"]), str(tmp_path / "x"), on_line_end="drop")
+
+
+def test_run_id_argument(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\n")
+    frame = read_segments(spark, str(tmp_path), run_id="mine").select(F.col("run_id"))
+    assert frame.first()[0] == "mine"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +44,7 @@ def six(column: str) -> Column:
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder inside the shared one."""
-    name = tempfile.mktemp(prefix="io-", dir="").lstrip("/")
-    return f"{shared_dir(spark)}/{name}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
