@@ -1,4 +1,10 @@
-"""Dense positions in a global order, without sorting everything in one task."""
+"""Dense positions in a global order, without sorting everything in one task.
+
+A top-k would send ``limit`` rows of every task to a single one, which at many
+thousand tasks is more than the answer needs by far. Here rows are counted in a
+fixed number of ordered buckets first; the running totals tell which buckets a
+limit needs, and only their rows are shuffled and sorted.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +13,33 @@ from pyspark.sql import functions as F
 
 from paraseg.session import broadcast_if_small, written
 
-# Hash prefixes of four hex digits: the number of buckets is fixed, their sizes
-# are even because the hash is.
+# Hash prefixes of four hex digits: 65 536 buckets of even size.
 PREFIX_DIGITS = 4
+# Leading bits of a number kept in its bucket: at most 64 * 1 024 buckets.
+LEADING_BITS = 10
 
 
-def number_by_hash(df: DataFrame, digest: Column, tie: str, limit: int | None) -> DataFrame:
-    """Add ``seg_id``: the position in order of a hex digest, then of ``tie``.
-
-    Buckets by hash prefix are counted first; the running totals say where a
-    bucket starts and which buckets the limit needs at all. Only those rows are
-    shuffled, and each bucket is sorted by itself.
-    """
-    df = df.withColumn("_digest", digest)
-    df = df.withColumn("_bucket", F.substring("_digest", 1, PREFIX_DIGITS))
+def _with_starts(df: DataFrame, limit: int | None) -> DataFrame:
+    """Add ``_start``, the number of rows in earlier buckets; keep what ``limit`` needs."""
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy("_bucket").count().select(
         "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")
     )
     if limit is not None:
         starts = starts.filter(F.col("_start") < limit)
+    # The number of buckets is fixed, whatever the data: a proven bound.
+    return df.join(F.broadcast(starts), "_bucket")
+
+
+def number_by_hash(df: DataFrame, digest: Column, tie: str, limit: int | None) -> DataFrame:
+    """Add ``seg_id``: the position in order of a hex digest, then of ``tie``.
+
+    The hash spreads the rows evenly, so each bucket is numbered by itself.
+    """
+    df = df.withColumn("_digest", digest)
+    df = df.withColumn("_bucket", F.substring("_digest", 1, PREFIX_DIGITS))
     inside = Window.partitionBy("_bucket").orderBy("_digest", tie)
-    # At most 16 ** PREFIX_DIGITS rows, whatever the data: a proven bound.
-    numbered = df.join(F.broadcast(starts), "_bucket").withColumn(
+    numbered = _with_starts(df, limit).withColumn(
         "seg_id", F.col("_start") + F.row_number().over(inside) - 1
     )
     if limit is not None:
@@ -37,12 +47,24 @@ def number_by_hash(df: DataFrame, digest: Column, tie: str, limit: int | None) -
     return numbered.drop("_digest", "_bucket", "_start")
 
 
-def number_by_range(df: DataFrame, key: str) -> DataFrame:
-    """Add ``seg_id``: the position in order of ``key``.
+def _magnitude(key: str) -> Column:
+    """An ordered bucket of a number: its length in bits and its leading bits."""
+    number = F.col(key)
+    length = F.length(F.bin(number))
+    leading = F.expr(f"shiftright(`{key}`, greatest(length(bin(`{key}`)) - {LEADING_BITS}, 0))")
+    bucket = length.cast("bigint") * (1 << LEADING_BITS) + leading
+    return F.when(number < 0, F.lit(-1)).otherwise(bucket)
+
 
-    The rows are range-partitioned and sorted, then written once, so that the
-    partition numbers are settled before they are counted.
+def number_by_range(df: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """Add ``seg_id``: the position in order of the whole number ``key``.
+
+    Numbers may cluster, so the rows that remain are range-partitioned by what
+    Spark samples of them, sorted, and written once: the partition numbers are
+    settled before they are counted.
     """
+    if limit is not None:
+        df = _with_starts(df.withColumn("_bucket", _magnitude(key)), limit).drop("_bucket", "_start")
     ordered = written(
         df.repartitionByRange(key)
         .sortWithinPartitions(key)
@@ -58,8 +80,9 @@ def number_by_range(df: DataFrame, key: str) -> DataFrame:
             (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"),
         )
     )
-    return (
+    numbered = (
         ordered.join(broadcast_if_small(starts), "_part")
         .withColumn("seg_id", F.col("_line") + F.col("_shift"))
         .drop("_part", "_line", "_shift")
     )
+    return numbered if limit is None else numbered.filter(F.col("seg_id") < limit)
