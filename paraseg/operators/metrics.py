@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paraseg.fixed import SEGMENT
 from paraseg.functions import scores
 from paraseg.functions.ngrams import CHAR_ORDER, PARTS, WORD_ORDER, char_stats, stat_fields, word_stats
+from paraseg.session import broadcast_if_small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -142,6 +143,7 @@ def nest_scores(record: DataFrame, segment_scores: DataFrame | None = None) -> D
         .agg(rows.alias("rows"))
         .select(*RUN, "doc_id", "part_id", F.col("rows.score").alias("comet_segments"))
     )
-    return arrays.join(record, RUN).select(
+    # A run may have a large part of all arrays, so they are not shuffled by run.
+    return arrays.join(broadcast_if_small(record), RUN).select(
         *RUN, "doc_id", "part_id", *[c for c in record.columns if c not in RUN], "comet_segments"
     )
