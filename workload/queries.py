@@ -17,7 +17,7 @@ from paraseg.operators import align, compare, corpus, metrics, requests, respons
 from paraseg.plans.corpus import sample_corpus
 from paraseg.plans.experiment import run_experiment
 from paraseg.plans.scoring import score
-from paraseg.session import shared_dir
+from paraseg.session import shared_dir, written
 from paraseg.sources import naming, records
 from paraseg.sources.pairs import read_pairs
 from paraseg.sources.segments import read_segments, write_segments
@@ -83,7 +83,7 @@ def s3_pairs_scan(spark, sf_dir):
 @query
 def s4_scores_io(spark, sf_dir):
     path = scratch(spark)
-    stats = _stats(spark, sf_dir)
+    stats = written(_stats(spark, sf_dir))
     record = metrics.score_record(metrics.corpus_scores(stats))
     records.write_score_records(metrics.nest_scores(record, stats.select(*SCORED, "score")), path)
     read = records.read_score_records(spark, path)
@@ -477,7 +477,7 @@ def _late_records(record: DataFrame) -> DataFrame:
 
 @query
 def r4_merge(spark, sf_dir):
-    record = _record(spark, sf_dir)
+    record = written(_record(spark, sf_dir))
     return compare.merge_scores(record, _late_records(record))
 
 
@@ -494,14 +494,14 @@ def r4_merge_segments(spark, sf_dir):
 @query
 def r5_refresh(spark, sf_dir):
     """Comparison after the merge: from rounded scores, with missing ones."""
-    record = _record(spark, sf_dir)
+    record = written(_record(spark, sf_dir))
     merged = compare.merge_scores(record, _late_records(record))
     return compare.refresh(merged)[1]
 
 
 @query
 def r5_refreshed_report(spark, sf_dir):
-    record = _record(spark, sf_dir)
+    record = written(_record(spark, sf_dir))
     merged = compare.merge_scores(record, _late_records(record))
     return _flat_report(compare.refresh(merged)[0])
 
