@@ -125,22 +125,23 @@ def _prefixes(words: int, percent: int, counts, keep=None) -> Callable:
     return run
 
 
-def _candidate_sets(words: int, wanted) -> Callable:
-    """Set, size and counts by hash range of the sets that may be candidates, once per task."""
+def _of_candidates(words: int, wanted, name: str) -> Callable:
+    """``ranges`` (counts by hash range) or ``shingles`` of the sets that may be candidates, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, done = wanted.value, set()
         for batch in batches:
-            rows = []
+            sids, sizes, blobs = [], [], []
             for _, part in _sets(batch.column(0), words):
                 if not len(part) or (sid := _name(part)) in done or not in_bitmap(bitmap, np.array([sid]))[0]:
                     continue
                 done.add(sid)
-                ranges = np.bincount((part >> _U(57)).astype(np.int64), minlength=SUFFIX_PARTS)
-                rows.append((sid, len(part), ranges.astype("<u4").tobytes(), part.tobytes()))
-            if rows:
-                sid, n, ranges, sets = zip(*rows)
-                yield _rows(["sid", "n", "ranges", "shingles"], [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(sets, pa.binary())])
+                ranges = lambda: np.bincount((part >> _U(57)).astype(np.int64), minlength=SUFFIX_PARTS).astype("<u4")  # noqa: B023, E731
+                sids.append(sid)
+                sizes.append(len(part))
+                blobs.append((ranges() if name == "ranges" else part).tobytes())
+            if sids:
+                yield _rows(["sid", "n", name], [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())])
 
     return run
 
@@ -286,14 +287,27 @@ def jaccard_components(
     weight = group.groupBy("leader").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("blocks"))
     group = written(group.join(weight, "leader"))
 
-    wanted = spark.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(group.select("sid")), "sid"))
-    sets = written(only.mapInArrow(_candidate_sets(words, wanted), "sid long, n int, ranges binary, shingles binary").dropDuplicates(["sid"]))
+    def candidates(ids: DataFrame, name: str) -> DataFrame:
+        """One row for each set named by ``ids``; the shingles of other sets stay out of the shuffle."""
+        wanted = spark.sparkContext.broadcast(bitmap_of(ids, "sid"))
+        return written(only.mapInArrow(_of_candidates(words, wanted, name), f"sid long, n int, {name} binary").dropDuplicates(["sid"]))
 
-    side = lambda kept, to, key: sets.select(F.col("sid").alias(key), F.col(kept).alias(to))
+    def side(kept: DataFrame, name: str, to: str, key: str) -> DataFrame:
+        return kept.select(F.col("sid").alias(key), F.col(name).alias(to))
+
+    named = F.explode(F.array("a", "b")).alias("sid")
+    ranges = candidates(pairs.select(named), "ranges")
     left = written(
-        pairs.join(side("ranges", "ranges_a", "a"), "a").join(side("ranges", "ranges_b", "b"), "b").mapInArrow(_suffix_filter(percent), "a long, b long")
+        pairs.join(side(ranges, "ranges", "ranges_a", "a"), "a")
+        .join(side(ranges, "ranges", "ranges_b", "b"), "b")
+        .mapInArrow(_suffix_filter(percent), "a long, b long")
+    )
+    sets = candidates(left.select(named).union(group.select("sid")), "shingles")
+    checked = (
+        left.join(side(sets, "shingles", "set_a", "a"), "a")
+        .join(side(sets, "shingles", "set_b", "b"), "b")
+        .mapInArrow(_verify(percent), "a long, b long")
     )
-    checked = left.join(side("shingles", "set_a", "a"), "a").join(side("shingles", "set_b", "b"), "b").mapInArrow(_verify(percent), "a long, b long")
     blocks = (
         group.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

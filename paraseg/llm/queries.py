@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import langid, ngram_join
+from paraseg.llm import decontaminate, langid, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,19 @@ def op3_langid(spark, sf_dir):
 def op6_ngram_join(spark, sf_dir):
     """Documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more, by component."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+MIX_POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    """Every document's raked cell weight and probability, and whether it is drawn into half of all tokens."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS, share=0.5)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the best window of each."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
