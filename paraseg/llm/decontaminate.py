@@ -179,7 +179,8 @@ def contaminated(
     )
     near = (
         windows.select("region", "start", "words", "mark", split("mark"))
-        .join(probes, ["words", "block", "bits"])
+        # The planner takes the probes for as small as the items.
+        .join(probes.hint("merge"), ["words", "block", "bits"])
         .filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
         .select("region", "start", "item")
         .distinct()
