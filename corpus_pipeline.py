@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import langid, ngram_join
+from paraseg.llm import decontaminate, langid, mixing, ngram_join, pii
 from paraseg.llm.common import written
-from paraseg.llm.queries import fold, table
+from paraseg.llm.queries import MIX_POWERS, fold, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +25,33 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
 
 
-STAGES = [("language", known_language), ("near duplicates", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each personal span of their texts replaced by its kind; lengths follow."""
+    weights = pii.fit(written(pii.find(docs).select("candidates")))
+    spans = pii.with_spans(pii.find(docs), weights)
+    clean = spans.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
+    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", changed).select(COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics have their target weights, with the probability of each."""
+    return mixing.mix(docs, MIX_POWERS, share=0.5).filter("sampled").select(*COLUMNS, "topic", "tokens", "weight", "probability")
+
+
+STAGES = [
+    ("language", known_language),
+    ("near duplicates", one_of_each_group),
+    ("benchmark", without_benchmark),
+    ("personal data", without_personal_data),
+    ("mixing", mixed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,21 +130,24 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     marks = written(rows.select("key", F.length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), fingerprint(F.col("text")).alias("mark")))
     first = F.min_by(F.struct("n", "h", "mark"), "h").alias("f")
     around = neighbours(marks.groupBy("key").agg(first).select("key", "f.*"), "key", ["n", "mark"])
-    around = around.select("key", "h", F.col("next.mark").alias("next_mark"), F.col("prev.key").alias("prev_key"), F.floor(F.col("prev.n") / 2).cast("int").alias("prev_half"))
+    around = around.select(
+        "key", "h", "mark", F.col("next.mark").alias("next_mark"), F.col("prev.key").alias("prev_key"), F.floor(F.col("prev.n") / 2).cast("int").alias("prev_half")
+    )
+    # One shuffle of the texts by id serves both their own row and the row before.
     placed = rows.join(around, "key")
     heads = (
-        placed.filter(F.xxhash64("text") == F.col("h"))
+        placed.filter(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0)  # no join key, which would deal the texts out anew
         .select(F.col("prev_key").alias("key"), F.left("text", "prev_half").alias("head"))
         .groupBy("key").agg(F.first("head").alias("head"))
     )
-    both = placed.select("key", "text", "next_mark").join(heads, "key")
+    both = placed.select("key", "text", "h", "mark", "next_mark").join(heads, "key")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    # Repeated ids can differ in length from the row that stands for them.
-    both = both.withColumn("edited", F.concat(F.left("text", n - half), F.left("head", half)))
-    own = marks.select("key", "h", "n", "mark").distinct()
-    both = both.select("key", F.xxhash64("text").alias("h"), "next_mark", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_mark"))
-    return both.join(own, ["key", "h"]).select(
-        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256",
-        "mark", "edited_mark", "next_mark",
+    edited = F.concat(F.left("text", n - half), F.left("head", half))
+    # Rows that share an id with the one that stands for them have fingerprints of their own.
+    mark = F.when(F.xxhash64("text") == F.col("h"), F.col("mark")).otherwise(fingerprint(F.col("text")))
+    both = both.select("key", n.cast("long").alias("n_chars"), edited.alias("edited"), mark.alias("mark"), "next_mark")
+    return both.select(
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "mark", fingerprint(F.col("edited")).alias("edited_mark"), "next_mark",
     )

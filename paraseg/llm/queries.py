@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import chat, decontaminate, fingerprint, langid, mixing, ngram_join, pii
+from paraseg.llm import chat, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
 from paraseg.llm.common import written
+from paraseg.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +121,50 @@ SELECT conv_id, count(*) AS n_turns,
     sum(length('<|im_start|>') + length(role) + 1 + shown + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM wide GROUP BY conv_id
 """
+
+
+@query
+def op2_warc(spark, sf_dir):
+    """Pages written as WARC records, equal payloads once, and read back from the archives."""
+    pages = warc.with_revisits(table(spark, sf_dir, "pages"), id_col="page_id", payload_col="html")
+    urn = lambda column: F.concat(F.lit("urn:page:"), F.col(column).cast("string"))
+    records = pages.select(
+        urn("page_id").alias("record_id"), "record_type", F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"),
+        "payload_digest", urn("refers_to").alias("refers_to"), "payload",
+    )
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    warc.write_warc(records, path)
+    number = lambda column: F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).try_cast("bigint").alias
+    read = warc.read_warc(spark, path)
+    return read.select(
+        number("record_id")("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to")("refers_to"), "target_uri", "error"
+    )
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (
+    SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, url, octet_length(payload)::BIGINT AS n, sha1(payload) AS digest FROM p
+), r AS (
+    SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM d
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to,
+    url AS target_uri, NULL::VARCHAR AS error
+FROM r
+"""
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """Licences of every document, by sentence rules."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark, sf_dir):
+    """Quality of every document, learnt from the labels of four folds of five."""
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(fold(5) != 0, F.lit(False)))
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
