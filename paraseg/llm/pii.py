@@ -34,6 +34,7 @@ HINTS = {"email": "mail|contact|write|@", "ip": "ip|server|host|address|from", "
 AGAINST = r"(version|isbn|page|order|invoice|serial|id|no\.|nr\.)\W*$"
 CONTEXT_CHARS = 24
 THRESHOLD = 0.9
+SMOOTHING = 0.1
 FEATURES = ["kind", "pattern", "gazetteer", "context", "shape", "length", "digits", "spaced"]
 
 
@@ -176,23 +177,23 @@ def fit(found: DataFrame) -> dict[str, float]:
                     cell[1] += (1 - p) * n
             after = []
             for r, _ in own:
-                odds = log((yes + 1) / (no + 1))
+                odds = log((yes + SMOOTHING) / (no + SMOOTHING))
                 for name in VOTES:
                     a, b = said[name, r[name]]
-                    odds += log((a + 1) / (yes + 3)) - log((b + 1) / (no + 3))
+                    odds += log((a + SMOOTHING) / (yes + 3 * SMOOTHING)) - log((b + SMOOTHING) / (no + 3 * SMOOTHING))
                 after.append(1 / (1 + exp(-max(-40.0, min(40.0, odds)))))
             change, soft = max(abs(a - b) for a, b in zip(after, soft)), after
             if change < 1e-9:
                 break
         yes = sum(p * n for p, (_, n) in zip(soft, own))
         no = sum((1 - p) * n for p, (_, n) in zip(soft, own))
-        weights[kind] = log((yes + 1) / (no + 1))
+        weights[kind] = log((yes + SMOOTHING) / (no + SMOOTHING))
         for name in FEATURES[1:]:
             values = sorted({r[name] for r, _ in own})
             for value in values:
                 a = sum(p * n for p, (r, n) in zip(soft, own) if r[name] == value)
                 b = sum((1 - p) * n for p, (r, n) in zip(soft, own) if r[name] == value)
-                weights[f"{kind}:{name}:{value}"] = log((a + 1) / (yes + len(values))) - log((b + 1) / (no + len(values)))
+                weights[f"{kind}:{name}:{value}"] = log((a + SMOOTHING) / (yes + len(values) * SMOOTHING)) - log((b + SMOOTHING) / (no + len(values) * SMOOTHING))
     return weights
 
 
