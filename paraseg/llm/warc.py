@@ -193,6 +193,8 @@ def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of gzip-member WARC files; ``error`` says what is wrong with a damaged one.
 
+    File names must not end in ``.gz``: Spark's text reader would inflate such a file as a whole instead of cutting it
+    into ranges. ``write_warc`` names none so.
     Revisits have no payload; their digest and length are those of the full one. Files without records give no rows;
     bytes before a file's first record are skipped.
     """
