@@ -15,7 +15,7 @@ __all__ = [
     "arrow_limits", "bitmap_of", "components", "hash_words", "in_bitmap", "mix", "shingle_hashes", "text_slices", "written",
 ]
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BITMAP_BITS = 26
 _CHUNK = 1 << 16
 _U = np.uint64
@@ -59,8 +59,8 @@ class _Powers:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Cut Arrow batches by bytes too: a row can be a long document."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -141,10 +141,14 @@ def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarr
     top = 64 - bits
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            seen[mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> _U(top)] = True
-        rows = [(i, np.packbits(part).tobytes()) for i, part in enumerate(seen.reshape(-1, _CHUNK)) if part.any()]
+            at = np.unique(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> _U(top))
+            if len(at):
+                byte = (at >> _U(3)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+                seen[byte[first]] |= np.bitwise_or.reduceat(np.uint8(128) >> (at & _U(7)).astype(np.uint8), first)
+        rows = [(i, part.tobytes()) for i, part in enumerate(seen.reshape(-1, _CHUNK // 8)) if part.any()]
         if rows:
             part, bits_of = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bits_of, pa.binary())], ["part", "bits"])

@@ -31,7 +31,7 @@ REJECT_DEVIATIONS = 8.0
 REJECT_FACTOR = 1.5
 UNKNOWN = "und"
 _U = np.uint64
-_SLOT_BITS = 22
+_SLOT_BITS = 19
 
 
 def _letters() -> np.ndarray:
@@ -50,7 +50,7 @@ def _grams(text: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 
     A text starts after three blanks and ends with one; characters beyond 16 bits are folded into the private area.
     """
-    for first, _, data, offsets in text_slices(text, 1 << 20):
+    for first, _, data, offsets in text_slices(text, 1 << 18):
         codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         ends = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
         high = codes > 0xFFFF

@@ -28,7 +28,7 @@ from paraseg.llm.common import arrow_limits, bitmap_of, components, hash_words,
 
 COUNT_BITS = 22
 LONG_LIST = 48
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1500
 SUFFIX_PARTS = 128
 _U = np.uint64
 _PART = 1 << 16
@@ -65,7 +65,7 @@ def _members(words: int) -> Callable:
                 if n[i]:
                     sids[i] = _name(part)
                     seen.append((part & _U((1 << COUNT_BITS) - 1)).astype(np.uint32))
-            if sum(map(len, seen)) > 1 << 21:
+            if sum(map(len, seen)) > 1 << 20:
                 counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
                 seen = []
             none = pa.nulls(len(ids))
@@ -215,7 +215,7 @@ def _compare_blocks(percent: int) -> Callable:
         owner = owner[on]
         common = np.zeros((len(left), len(right)), np.float32)
         place = np.zeros(len(rows), np.int64)
-        step = 2048
+        step = 1024
         for lo in range(0, int(shared.sum()), step):
             a, z = np.searchsorted(column, [lo, lo + step])
             sides = []
@@ -227,9 +227,11 @@ def _compare_blocks(percent: int) -> Callable:
                 dense[at[at >= 0], column[a:z][at >= 0] - lo] = 1
                 sides.append(dense)
             common += sides[0] @ sides[1].T
-        linked = _similar(common.astype(np.int64), n[left][:, None], n[right][None, :], percent)
-        i, j = np.nonzero(linked)
-        pairs = np.stack([left[i], right[j]], 1)
+        pairs = []
+        for i, row in enumerate(common):
+            j = np.flatnonzero(_similar(row.astype(np.int64), n[left[i]], n[right], percent))
+            pairs.append(np.stack([np.full(len(j), left[i]), right[j]], 1))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         return pd.DataFrame(_forest(pairs[pairs[:, 0] != pairs[:, 1]], sids), columns=["a", "b"], dtype="int64")
 
     return run
@@ -284,7 +286,7 @@ def jaccard_components(
         .distinct()
     )
     group = postings.filter(F.col("size") > long_list).select("leader", "sid", "n").distinct()
-    weight = group.groupBy("leader").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("blocks"))
+    weight = group.groupBy("leader").agg((F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("sid") / BLOCK_MEMBERS)) + 1).alias("blocks"))
     group = written(group.join(weight, "leader"))
 
     def candidates(ids: DataFrame, name: str) -> DataFrame:
