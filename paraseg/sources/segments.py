@@ -40,6 +40,9 @@ def read_segments(
         raise ValueError(f"document must be 'file' or 'directory', not {document!r}")
     raw = spark.read.text(path)
     partition_columns = [c for c in raw.columns if c != "value"]
+    if partition_columns:
+        # Inferred types would make "007" and "7" the same document.
+        raw = spark.read.schema(", ".join(f"`{c}` string" for c in raw.columns)).text(path)
     file = F.col("_metadata.file_path")
     if "doc_id" in partition_columns:
         doc_id = F.col("doc_id").cast("string")

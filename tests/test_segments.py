@@ -118,3 +118,11 @@ def test_run_id_argument(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\n")
     frame = read_segments(spark, str(tmp_path), run_id="mine").select(F.col("run_id"))
     assert frame.first()[0] == "mine"
+
+
+def test_names_that_look_like_numbers_stay_apart(spark, tmp_path):
+    rows = [("r", name, 0, name) for name in ("007", "7", "1.50")]
+    frame = spark.createDataFrame(rows, "run_id string, doc_id string, seg_id long, text string")
+    write_segments(frame, str(tmp_path / "out"))
+    read = read_segments(spark, str(tmp_path / "out")).collect()
+    assert {(r["doc_id"], r["seg_id"], r["text"]) for r in read} == {(n, 0, n) for n in ("007", "7", "1.50")}
