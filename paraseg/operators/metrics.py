@@ -124,7 +124,7 @@ def score_record(corpus: DataFrame) -> DataFrame:
 
 
 def nest_scores(record: DataFrame, segment_scores: DataFrame | None = None) -> DataFrame:
-    """The record with ``comet_segments``, the rounded scores in segment order.
+    """The record with ``comet_segments``, the rounded scores by position, null where a segment has none.
 
     A run of more than ``SCORES_PER_PART`` segments in a document, or of several
     documents, continues in further rows (``doc_id``, ``part_id``), so no array
@@ -137,11 +137,18 @@ def nest_scores(record: DataFrame, segment_scores: DataFrame | None = None) -> D
             F.array().cast("array<double>").alias("comet_segments"),
         )
     part = F.floor(F.col("seg_id") / SCORES_PER_PART).cast("bigint")
-    rows = F.sort_array(F.collect_list(F.struct("seg_id", F.round("score", 4).alias("score"))))
+    place = (F.col("seg_id") % SCORES_PER_PART).cast("int").alias("place")
+    rows = F.sort_array(F.collect_list(F.struct(place, F.round("score", 4).alias("score"))))
+
+    def with_gap(row: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.col("rows")[i - 1]["place"]).otherwise(-1)
+        missing = F.array_repeat(F.lit(None).cast("double"), row["place"] - before - 1)
+        return F.concat(missing, F.array(row["score"]))
+
     arrays = (
         segment_scores.groupBy(*RUN, "doc_id", part.alias("part_id"))
         .agg(rows.alias("rows"))
-        .select(*RUN, "doc_id", "part_id", F.col("rows.score").alias("comet_segments"))
+        .select(*RUN, "doc_id", "part_id", F.flatten(F.transform("rows", with_gap)).alias("comet_segments"))
     )
     # A run may have a large part of all arrays, so they are not shuffled by run.
     return arrays.join(broadcast_if_small(record), RUN).select(

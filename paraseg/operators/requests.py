@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,25 @@ from pyspark.sql import functions as F
 from paraseg import fixed
 from paraseg.fixed import CACHE_MIN_CHARS, CHUNK_SEGMENTS, DOCUMENT, SEGMENT
 from paraseg.functions.text import is_blank
+from paraseg.session import written
 
-# Chunks per row of a document's text: a giant document becomes many rows.
-CHUNKS_PER_PART = 40
-# A request is one string. No engine takes a longer one; such a document gets a
-# request row without a prompt, and a status of its own after the call.
-MAX_PROMPT_CHARS = 100_000_000
+# Segments per row of a document's text: a giant document becomes many rows.
+PART_SEGMENTS = 1000
 
 STYLES = ("cached", "blocks")
+# How the first part of a document opens; ``inline`` is the style without a cache.
+OPENINGS = {
+    "cached": fixed.CACHED_DOCUMENT,
+    "blocks": fixed.DOCUMENT_INTRO,
+    "inline": f"{fixed.ROLE}\n\n{fixed.DOCUMENT_INTRO}",
+}
+
+
+class Calls(NamedTuple):
+    requests: DataFrame
+    """One row per call. With ``uses_context``, the parts of its document and mode come before ``prompt``."""
+    contexts: DataFrame | None
+    """``mode, run_id, doc_id, part_id, text``: parts of bounded length, joined by newlines in order."""
 
 
 def _fill(template: str, **values: Column | str) -> Column:
@@ -49,6 +61,7 @@ def chunk_segments(segments: DataFrame, size: int = CHUNK_SEGMENTS) -> DataFrame
             F.col("rows")[0]["seg_id"].alias("first_seg"),
             F.size("rows").cast("bigint").alias("n_segments"),
             F.col("rows.text").alias("texts"),
+            F.length(F.array_join("rows.text", "\n")).cast("bigint").alias("chars"),
         )
     )
 
@@ -64,8 +77,7 @@ def numbered(texts: Column, offset: Column | None = None) -> Column:
 
 def document_sizes(chunks: DataFrame) -> DataFrame:
     """Characters and segments per document, and whether its prefix can be cached."""
-    joined = F.array_join("texts", "\n")
-    n_chars = F.sum(F.length(joined)) + F.count("*") - 1
+    n_chars = F.sum("chars") + F.count("*") - 1
     return (
         chunks.groupBy(*DOCUMENT)
         .agg(n_chars.alias("n_chars"), F.sum("n_segments").alias("doc_segments"))
@@ -73,38 +85,43 @@ def document_sizes(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _join_in_order(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    pieces = F.sort_array(F.collect_list(F.struct(order, text)))
+def _join_in_order(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    pieces = F.sort_array(F.collect_list(F.struct("first_seg", text)))
     return rows.groupBy(*keys).agg(F.array_join(pieces[text], "\n").alias(text))
 
 
+def _parts(chunks: DataFrame, text: Column) -> DataFrame:
+    part = F.floor(F.col("first_seg") / PART_SEGMENTS).cast("bigint")
+    rows = chunks.select(*DOCUMENT, part.alias("part_id"), "first_seg", text.alias("text"))
+    return _join_in_order(rows, [*DOCUMENT, "part_id"], "text")
+
+
 def document_parts(chunks: DataFrame) -> DataFrame:
     """The text of each document in parts of bounded length, joined by newlines.
 
-    Part ``p`` covers ``CHUNKS_PER_PART`` chunks; nearly every document has only
-    part 0. The parts in order, joined by newlines, are the document.
+    Part ``p`` has the chunks that start in its ``PART_SEGMENTS`` segments; nearly
+    every document has only part 0. The parts in order, joined by newlines, are
+    the document.
     """
-    part = F.floor(F.col("chunk_id") / CHUNKS_PER_PART).cast("bigint")
-    rows = chunks.select(
-        *DOCUMENT, part.alias("part_id"), "chunk_id", F.array_join("texts", "\n").alias("text")
-    )
-    return _join_in_order(rows, [*DOCUMENT, "part_id"], "chunk_id", "text")
+    return _parts(chunks, F.array_join("texts", "\n"))
 
 
 def context_parts(chunks: DataFrame, target_lang: str, style: str = "cached") -> DataFrame:
-    """What is sent once per document and referred to by its requests.
+    """What the requests of a document refer to: its parts, the first with the instruction.
 
-    Part 0 starts with the instruction; further parts follow after a newline.
+    In style ``cached`` these are the documents long enough to be cached; in
+    ``blocks`` and ``inline`` all of them.
     """
-    check_style(style)
-    template = fixed.CACHED_DOCUMENT if style == "cached" else fixed.DOCUMENT_INTRO
-    opening = _fill(template, target_lang=target_lang, document=F.col("text"))
+    if style not in OPENINGS:
+        raise ValueError(f"Unknown style: {style!r}")
+    opening = _fill(OPENINGS[style], target_lang=target_lang, document=F.col("text"))
     text = F.when(F.col("part_id") == 0, opening).otherwise(F.col("text"))
     parts = document_parts(chunks)
     if style == "cached":
-        # A document with a late part is long enough in any case: only early parts,
-        # a bounded number per document, have to look their document up.
-        surely = F.col("part_id") * (CHUNKS_PER_PART * CHUNK_SEGMENTS) >= CACHE_MIN_CHARS
+        # Every earlier segment has a newline at least: a document with a late part
+        # is long enough in any case. Only early parts, a bounded number per
+        # document, have to look their document up.
+        surely = F.col("part_id") * PART_SEGMENTS >= CACHE_MIN_CHARS
         cacheable = document_sizes(chunks).filter("cacheable")
         early = parts.filter(~surely).join(cacheable, DOCUMENT, "left_semi")
         parts = early.unionByName(parts.filter(surely))
@@ -116,7 +133,7 @@ def _may_fit(max_chars: int) -> Column:
 
     Keeps the chunks of giant documents out of joins that they cannot match.
     """
-    return F.col("chunk_id") * CHUNK_SEGMENTS <= max_chars
+    return F.col("first_seg") <= max_chars
 
 
 def _requests(rows: DataFrame, mode: str, unit: str, reply: str, **columns: Column) -> DataFrame:
@@ -148,28 +165,27 @@ def blank_segments(segments: DataFrame) -> DataFrame:
 def context_requests(chunks: DataFrame, target_lang: str, cache: bool = True) -> DataFrame:
     """One request per chunk that sees its document.
 
-    A cacheable document is referred to (``uses_context``), not copied; the
-    others are shorter than ``CACHE_MIN_CHARS``, so the copies are bounded.
-    ``cache=False`` copies every document into each of its requests.
+    A document of ``CACHE_MIN_CHARS`` characters is referred to (``uses_context``),
+    not copied; shorter ones are copied, so the copies are bounded. With
+    ``cache=False`` every document is sent with each request (style ``inline`` of
+    ``context_parts``) and stands once in the table of contexts all the same.
     """
-    max_chars = CACHE_MIN_CHARS - 1 if cache else MAX_PROMPT_CHARS
+    ask = _fill(
+        fixed.CHUNK_ASK, n=F.col("n_segments"), target_lang=target_lang, numbered=numbered(F.col("texts"))
+    )
+    if not cache:
+        follows = F.concat(F.lit("\n\n"), ask)
+        return _requests(chunks, "context", "chunk_id", "json", prompt=follows, uses_context=F.lit(True))
+    max_chars = CACHE_MIN_CHARS - 1
     short = chunks.filter(_may_fit(max_chars))
     sizes = document_sizes(chunks).filter(F.col("n_chars") <= max_chars)
-    texts = short.select(*DOCUMENT, "chunk_id", F.array_join("texts", "\n").alias("document"))
-    documents = _join_in_order(
-        texts.join(sizes, DOCUMENT, "left_semi"), DOCUMENT, "chunk_id", "document"
-    )
+    texts = short.select(*DOCUMENT, "first_seg", F.array_join("texts", "\n").alias("document"))
+    documents = _join_in_order(texts.join(sizes, DOCUMENT, "left_semi"), DOCUMENT, "document")
     no_document = F.lit(None).cast("string").alias("document")
     rows = short.join(documents, DOCUMENT, "left").unionByName(
         chunks.filter(~_may_fit(max_chars)).select("*", no_document)
     )
-    ask = _fill(
-        fixed.CHUNK_ASK, n=F.col("n_segments"), target_lang=target_lang, numbered=numbered(F.col("texts"))
-    )
-    opening = _fill(f"{fixed.ROLE}\n\n{fixed.DOCUMENT_INTRO}\n\n", document=F.col("document"))
-    copied = F.concat(opening, ask)
-    if not cache:
-        return _requests(rows, "context", "chunk_id", "json", prompt=copied)
+    copied = F.concat(_fill(OPENINGS["inline"], document=F.col("document")), F.lit("\n\n"), ask)
     by_reference = F.col("document").isNull()
     return _requests(
         rows, "context", "chunk_id", "json",
@@ -196,26 +212,23 @@ def block_requests(
     return _requests(chunks, mode, "chunk_id", "json", prompt=ask, uses_context=F.lit(True))
 
 
-def whole_requests(chunks: DataFrame, target_lang: str) -> DataFrame:
-    """One request per document, numbered through.
-
-    The chunks are numbered where they are; a document over the prompt limit is
-    not gathered at all and keeps a null prompt.
-    """
-    lines = chunks.filter(_may_fit(MAX_PROMPT_CHARS)).select(
-        *DOCUMENT, "chunk_id", numbered(F.col("texts"), F.col("first_seg")).alias("numbered")
-    )
-    sizes = document_sizes(chunks)
-    fits = sizes.filter(F.col("n_chars") <= MAX_PROMPT_CHARS)
-    lists = _join_in_order(lines.join(fits, DOCUMENT, "left_semi"), DOCUMENT, "chunk_id", "numbered")
+def whole_requests(chunks: DataFrame) -> DataFrame:
+    """One request per document. All of its text is in ``whole_parts``; the prompt adds nothing."""
     zero = F.lit(0).cast("bigint")
-    rows = sizes.join(lists, DOCUMENT, "left").select(
-        *DOCUMENT, zero.alias("first_seg"), F.col("doc_segments").alias("n_segments"), "numbered"
+    rows = document_sizes(chunks).select(
+        *DOCUMENT, zero.alias("first_seg"), F.col("doc_segments").alias("n_segments")
     )
-    prompt = _fill(
-        fixed.WHOLE_PROMPT, n=F.col("n_segments"), target_lang=target_lang, numbered=F.col("numbered")
+    return _requests(rows, "whole", "first_seg", "json", prompt=F.lit(""), uses_context=F.lit(True))
+
+
+def whole_parts(chunks: DataFrame, target_lang: str) -> DataFrame:
+    """The documents numbered through, in parts of bounded length, the first with the instruction."""
+    parts = _parts(chunks, numbered(F.col("texts"), F.col("first_seg")))
+    ask = _fill(
+        fixed.WHOLE_PROMPT, n=F.col("doc_segments"), target_lang=target_lang, numbered=F.col("text")
     )
-    return _requests(rows, "whole", "first_seg", "json", prompt=prompt)
+    first = parts.filter("part_id = 0").join(document_sizes(chunks), DOCUMENT)
+    return first.select(*DOCUMENT, "part_id", ask.alias("text")).unionByName(parts.filter("part_id > 0"))
 
 
 def check_style(style: str) -> None:
@@ -234,25 +247,42 @@ def check_modes(modes: list[str], style: str = "cached") -> list[str]:
     return list(dict.fromkeys(modes))
 
 
-def build_requests(
+def build_calls(
     segments: DataFrame,
     target_lang: str,
     source_lang: str = "English",
     modes: list[str] = fixed.DEFAULT_MODES,
     style: str = "cached",
     cache: bool = True,
-) -> DataFrame:
-    """The requests of all chosen modes over the same segments, one row per call."""
+    size: int = CHUNK_SEGMENTS,
+) -> Calls:
+    """Requests of all chosen modes over the same segments, and the document texts they refer to.
+
+    The chunks are written once; requests, sizes and parts read them from there.
+    """
     modes = check_modes(modes, style)
-    chunks = chunk_segments(segments)
-    tables = []
+    by_chunk = style == "blocks" or modes != ["sentence"]
+    chunks = written(chunk_segments(segments, size)) if by_chunk else None
+    tables, contexts = [], {}
     for mode in modes:
         if style == "blocks":
             tables.append(block_requests(chunks, source_lang, target_lang, mode))
+            if mode == "context":
+                contexts[mode] = context_parts(chunks, target_lang, "blocks")
         elif mode == "sentence":
             tables.append(segment_requests(segments, target_lang))
         elif mode == "context":
             tables.append(context_requests(chunks, target_lang, cache))
+            contexts[mode] = context_parts(chunks, target_lang, "cached" if cache else "inline")
         else:
-            tables.append(whole_requests(chunks, target_lang))
-    return reduce(DataFrame.unionByName, tables)
+            tables.append(whole_requests(chunks))
+            contexts[mode] = whole_parts(chunks, target_lang)
+    parts = [p.select(F.lit(mode).alias("mode"), *DOCUMENT, "part_id", "text") for mode, p in contexts.items()]
+    return Calls(
+        reduce(DataFrame.unionByName, tables), reduce(DataFrame.unionByName, parts) if parts else None
+    )
+
+
+def build_requests(segments: DataFrame, target_lang: str, *args, **options) -> DataFrame:
+    """The requests of ``build_calls`` alone."""
+    return build_calls(segments, target_lang, *args, **options).requests

@@ -14,6 +14,7 @@ from paraseg.operators.requests import (
     document_parts,
     document_sizes,
     segment_requests,
+    whole_parts,
     whole_requests,
 )
 
@@ -102,10 +103,25 @@ def test_short_documents_are_copied_and_long_ones_referred_to(spark):
     )
 
 
-def test_without_cache_every_document_is_copied(spark):
-    long = ["x" * 700 for _ in range(30)]
-    rows = context_requests(chunk_segments(segments(spark, long)), TARGET, cache=False).collect()
-    assert all("\n".join(long) in r["prompt"] and not r["uses_context"] for r in rows)
+def test_without_cache_every_document_is_sent(spark):
+    chunks = chunk_segments(segments(spark, ["x" * 700 for _ in range(30)]))
+    rows = context_requests(chunks, TARGET, cache=False).collect()
+    assert all(r["uses_context"] for r in rows)
+    [part] = context_parts(chunks, TARGET, "inline").collect()
+    [copied] = [r["prompt"] for r in context_requests(chunks.withColumn("chars", F.lit(0).cast("bigint")), TARGET).filter("first_seg = 0").collect()]
+    assert part["text"] + rows[0]["prompt"] == copied
+
+
+@pytest.mark.parametrize("size", [1, 5, 7])
+def test_any_chunk_size_keeps_the_document(spark, size):
+    """Short lines in small chunks: not cacheable, so no chunk may lose its document."""
+    lines = ["ab"] * 4000
+    chunks = chunk_segments(segments(spark, lines), size)
+    rows = context_requests(chunks, TARGET)
+    assert rows.filter("uses_context").count() == 0
+    assert context_parts(chunks, TARGET).count() == 0
+    parts = document_parts(chunks).orderBy("part_id").collect()
+    assert "\n".join(p["text"] for p in parts) == "\n".join(lines)
 
 
 def test_documents_with_very_many_lines(spark):
@@ -123,21 +139,15 @@ def test_documents_with_very_many_lines(spark):
 
 
 def test_whole_request_numbers_through(spark):
-    texts = [f"t{i}" for i in range(60)]
-    [row] = whole_requests(chunk_segments(segments(spark, texts)), TARGET).collect()
-    assert row["n_segments"] == 60
-    assert row["prompt"].endswith(f"Do not merge, split, or omit segments.\n\n{numbered(texts)}")
-    assert f"following 60 numbered segments into {TARGET}" in row["prompt"]
-
-
-def test_document_over_the_prompt_limit_keeps_its_row(spark, monkeypatch):
-    monkeypatch.setattr(requests, "MAX_PROMPT_CHARS", 50)
-    frame = segments(spark, ["x" * 30] * 3, doc_id="big").unionByName(segments(spark, ["y"], doc_id="small"))
-    chunks = chunk_segments(frame)
-    rows = {r["doc_id"]: r["prompt"] for r in whole_requests(chunks, TARGET).collect()}
-    assert rows["big"] is None and rows["small"].endswith("1. y")
-    rows = {r["doc_id"]: r["prompt"] for r in context_requests(chunks, TARGET, cache=False).collect()}
-    assert rows["big"] is None and rows["small"] is not None
+    texts = [f"t{i}" for i in range(2010)]
+    chunks = chunk_segments(segments(spark, texts))
+    [row] = whole_requests(chunks).collect()
+    assert (row["n_segments"], row["prompt"], row["uses_context"]) == (2010, "", True)
+    parts = whole_parts(chunks, TARGET).orderBy("part_id").collect()
+    assert len(parts) == 3
+    prompt = "\n".join(p["text"] for p in parts)
+    assert prompt.endswith(f"Do not merge, split, or omit segments.\n\n{numbered(texts)}")
+    assert f"following 2010 numbered segments into {TARGET}" in prompt
 
 
 def test_block_style(spark):
