@@ -6,6 +6,7 @@ deterministic rewrite of the text; scores exercise the operators, not quality.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sys
@@ -106,8 +107,20 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Responses that are not the asked JSON, by document number modulo 20.
+BROKEN = {
+    1: '{"translations":["x"]} trailing',
+    2: '{"translations":["x"]}{"translations":["y"]}',
+    3: "{'translations':['x']}",
+    4: '{"translations":[1]}',
+    5: '{"translations":[{"k":1}]}',
+    6: '{"translations":[null]}',
+    7: '{"translations":"x"}',
+}
+
+
 def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses to context chunks: most fine, some sources refused, broken or short."""
+    """Responses to context chunks, most fine, some refused, broken or short; and bare replies, some blank or missing."""
     chunks = chunk_segments(segments(spark, sf_dir))
     sources = documents(spark, sf_dir).select(*DOCUMENT, "source")
     texts = F.transform("texts", lambda t: rewritten(t, "context"))
@@ -115,22 +128,31 @@ def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.to_json(
         F.struct(F.slice(texts, 1, F.size("texts") - 1).alias("translations"))
     )
-    response = (
-        F.when(F.col("source") == "src1", "not json")
-        .when(F.col("source") == "src2", short)
-        .otherwise(reply)
-    )
+    number = F.col("doc_id").cast("bigint") % 20
+    response = F.when(F.col("source") == "src1", "not json").when(F.col("source") == "src2", short)
+    for k, text in BROKEN.items():
+        response = response.when(number == k, text)
     stop = F.when(F.col("source") == "src0", "refusal").otherwise("end")
-    return chunks.join(sources, DOCUMENT).select(
-        F.concat_ws("/", F.lit("context"), *DOCUMENT, "chunk_id").alias("request_id"),
-        F.lit("context").alias("mode"),
-        *DOCUMENT,
-        "first_seg",
-        "n_segments",
-        F.lit("json").alias("reply"),
-        F.lit(None).cast("string").alias("preview"),
-        response.alias("response"),
-        stop.alias("stop_reason"),
+    logged = chunks.join(sources, DOCUMENT)
+    first = F.col("texts")[0]
+    bare = F.when(number == 8, " \t ").when(number == 9, "").when(number != 10, F.concat(F.lit("  "), first))
+
+    def rows_of(frame: DataFrame, mode: str, n: Column, reply_kind: str, answer: Column) -> DataFrame:
+        return frame.select(
+            F.concat_ws("/", F.lit(mode), *DOCUMENT, "chunk_id").alias("request_id"),
+            F.lit(mode).alias("mode"),
+            *DOCUMENT,
+            "first_seg",
+            n.alias("n_segments"),
+            F.lit(reply_kind).alias("reply"),
+            F.lit("line" if reply_kind == "text" else None).cast("string").alias("preview"),
+            answer.alias("response"),
+            stop.alias("stop_reason"),
+        )
+
+    one = F.lit(1).cast("bigint")
+    return rows_of(logged, "context", F.col("n_segments"), "json", response.otherwise(reply)).unionByName(
+        rows_of(logged.filter("chunk_id = 0"), "sentence", one, "text", bare)
     )
 
 
@@ -159,27 +181,35 @@ def length_ratio(batch: pd.DataFrame) -> pd.Series:
 
 
 def rewriting_translator(batch: pd.DataFrame) -> pd.DataFrame:
-    """Stand-in for an engine: rewrites the segments it finds in the prompt."""
+    """Stand-in for an engine: rewrites the segments it finds in the prompt.
+
+    A JSON reply names the digest of all text it was sent, document included; so
+    do the thinking tokens.
+    """
     rewrites = {"sentence": "the|que", "context": "que", "whole": "que"}
 
-    def answer(prompt: str, mode: str, reply: str) -> str:
+    def answer(sent: str, mode: str, reply: str) -> str:
         if reply == "text":
-            text = prompt.split("~~~~\n", 1)[1].rsplit("\n~~~~", 1)[0]
+            text = sent.split("~~~~\n", 1)[1].rsplit("\n~~~~", 1)[0]
             return re.sub(rewrites[mode], "di", text)
-        listed = prompt.rsplit("\n\n1. ", 1)[1].split("\n")
+        listed = sent.rsplit("\n\n1. ", 1)[1].split("\n")
         texts = [listed[0], *(line.split(". ", 1)[1] for line in listed[1:])]
         translations = [re.sub(rewrites[mode], "di", text) for text in texts]
-        return json.dumps({"translations": translations}, ensure_ascii=False, separators=(",", ":"))
+        reply = {"sent": digest(sent), "translations": translations}
+        return json.dumps(reply, ensure_ascii=False, separators=(",", ":"))
+
+    def digest(text: str) -> str:
+        return hashlib.md5(text.encode()).hexdigest()
 
-    responses = [
-        answer(p, m, r) for p, m, r in zip(batch["prompt"], batch["mode"], batch["reply"])
-    ]
+    sent = [(c or "") + p for c, p in zip(batch["context"], batch["prompt"])]
+    responses = [answer(s, m, r) for s, m, r in zip(sent, batch["mode"], batch["reply"])]
     return pd.DataFrame(
         {
             "response": responses,
             "stop_reason": "end",
             "has_usage": True,
-            "prompt_tokens": batch["prompt"].str.len().to_numpy(),
+            "prompt_tokens": [len(s) for s in sent],
             "output_tokens": [len(r) for r in responses],
+            "thinking_tokens": [int(digest(s)[:4], 16) for s in sent],
         }
     )

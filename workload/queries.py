@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from paraseg.operators import align, compare, corpus, metrics, requests, respons
 from paraseg.plans.corpus import sample_corpus
 from paraseg.plans.experiment import run_experiment
 from paraseg.plans.scoring import score
+from paraseg.plans.translate import translate_segments
 from paraseg.session import shared_dir, written
 from paraseg.sources import naming, records
 from paraseg.sources.pairs import read_pairs
@@ -85,6 +87,8 @@ def s4_scores_io(spark, sf_dir):
     path = scratch(spark)
     stats = written(_stats(spark, sf_dir))
     record = metrics.score_record(metrics.corpus_scores(stats))
+    # Some segments have no score; the others keep their positions.
+    stats = stats.filter("seg_id % 7 <> 3")
     records.write_score_records(metrics.nest_scores(record, stats.select(*SCORED, "score")), path)
     read = records.read_score_records(spark, path)
     rows = records.record_segments(read).select(*SCORED, "score")
@@ -239,6 +243,7 @@ def t5_requests(spark, sf_dir):
 
 @query
 def t5_requests_inline(spark, sf_dir):
+    """Without a cache every document is sent with each of its requests."""
     chunks = requests.chunk_segments(fx.segments(spark, sf_dir))
     return _prompts(requests.context_requests(chunks, fx.TARGET, cache=False))
 
@@ -253,12 +258,20 @@ def t5_requests_blocks(spark, sf_dir):
 
 @query
 def t5_context_texts(spark, sf_dir):
-    chunks = requests.chunk_segments(fx.segments(spark, sf_dir))
-    cached = requests.context_parts(chunks, fx.TARGET, "cached").withColumn("style", F.lit("cached"))
-    blocks = requests.context_parts(chunks, fx.TARGET, "blocks").withColumn("style", F.lit("blocks"))
-    return cached.unionByName(blocks).select(
-        "style", *DOCUMENT, "part_id", digest("text").alias("text_md5")
-    )
+    chunks = written(requests.chunk_segments(fx.segments(spark, sf_dir)))
+    styles = [
+        requests.context_parts(chunks, fx.TARGET, style).withColumn("style", F.lit(style))
+        for style in requests.OPENINGS
+    ]
+    rows = reduce(DataFrame.unionByName, styles)
+    return rows.select("style", *DOCUMENT, "part_id", digest("text").alias("text_md5"))
+
+
+@query
+def t5_whole_texts(spark, sf_dir):
+    chunks = written(requests.chunk_segments(fx.segments(spark, sf_dir)))
+    rows = requests.whole_parts(chunks, fx.TARGET)
+    return rows.select(*DOCUMENT, "part_id", digest("text").alias("text_md5"))
 
 
 @query
@@ -279,16 +292,35 @@ def t7_modes(spark, sf_dir):
     )
 
 
-@query
-def t8_translate(spark, sf_dir):
-    asked = requests.build_requests(fx.segments(spark, sf_dir), fx.TARGET)
-    called = responses.translate(asked, fx.rewriting_translator, fx.MODEL)
+def _called(calls: requests.Calls) -> DataFrame:
+    called = responses.translate(calls.requests, fx.rewriting_translator, fx.MODEL, calls.contexts)
     return called.select(
         "request_id", "mode", *DOCUMENT, "n_segments", digest("response").alias("response_md5"),
-        "stop_reason", "has_usage", "prompt_tokens", "output_tokens", "model",
+        "stop_reason", "has_usage", "prompt_tokens", "output_tokens", "thinking_tokens", "model",
     )
 
 
+@query
+def t8_translate(spark, sf_dir):
+    return _called(requests.build_calls(fx.segments(spark, sf_dir), fx.TARGET))
+
+
+@query
+def t8_translate_blocks(spark, sf_dir):
+    """Chunks of ten segments; in context mode the document comes first."""
+    segments = fx.segments(spark, sf_dir)
+    return _called(requests.build_calls(segments, fx.TARGET, style="blocks", size=10))
+
+
+@query
+def translate_only(spark, sf_dir):
+    """Whole documents translated without a reference."""
+    found = translate_segments(
+        fx.segments(spark, sf_dir), fx.rewriting_translator, fx.MODEL, fx.TARGET, modes=["whole"]
+    )
+    return found.candidates.select(*SCORED, digest("text").alias("text_md5"))
+
+
 @query
 def t9_realign(spark, sf_dir):
     rows = responses.realign(responses.with_status(fx.response_log(spark, sf_dir)))
@@ -501,9 +533,11 @@ def r5_refresh(spark, sf_dir):
 
 @query
 def r5_refreshed_report(spark, sf_dir):
+    """Every run has scores of whole mode, too."""
     record = written(_record(spark, sf_dir))
     merged = compare.merge_scores(record, _late_records(record))
-    return _flat_report(compare.refresh(merged)[0])
+    whole = merged.filter("mode = 'context'").withColumn("mode", F.lit("whole"))
+    return _flat_report(compare.refresh(merged.unionByName(whole))[0])
 
 
 @query
@@ -513,8 +547,10 @@ def r6_experiment(spark, sf_dir):
     result = run_experiment(
         segments, segments, fx.rewriting_translator, fx.MODEL, fx.TARGET, scorer=fx.length_ratio
     )
-    costs = result.costs.select(*RUN, "calls", "prompt_tokens", "output_tokens", "usd")
+    costs = result.costs.select(
+        *RUN, "calls", "prompt_tokens", "output_tokens", "thinking_tokens", "usd"
+    )
     return result.scored.corpus.join(costs, RUN).select(
         *RUN, "n_segments", six("bleu"), six("chrf"), six("comet"),
-        "calls", "prompt_tokens", "output_tokens", "usd",
+        "calls", "prompt_tokens", "output_tokens", "thinking_tokens", "usd",
     )
