@@ -148,8 +148,10 @@ class Model:
     """Sorted hash arrays by language and order."""
 
     def __init__(self, rows: pa.Table):
-        lang, k, weight, h, value = (rows.column(c).to_numpy() for c in ("lang", "k", "weight", "h", "value"))
-        self.langs = sorted(set(lang.tolist()))
+        names = rows.column("lang").combine_chunks().dictionary_encode()
+        number, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+        k, weight, h, value = (rows.column(c).to_numpy() for c in ("k", "weight", "h", "value"))
+        self.langs = sorted(names)
         self.letters = 1 << 12
         self.tables = []
         for name in self.langs:
@@ -157,9 +159,9 @@ class Model:
             for order in range(1, ORDER + 1):
                 pair = []
                 for kind in (False, True):
-                    on = (lang == name) & (k == order) & (weight == kind)
-                    by = np.argsort(h[on])
-                    pair.append((h[on][by].astype(np.uint32), value[on][by].astype(np.float64)))
+                    on = np.flatnonzero((number == names.index(name)) & (k == order) & (weight == kind))
+                    on = on[np.argsort(h[on])]
+                    pair.append((h[on].astype(np.uint32), value[on].astype(np.float32)))
                 orders.append(pair)
             self.tables.append(orders)
 
@@ -169,7 +171,7 @@ class Model:
         if not len(keys):
             return np.full(len(h), missing)
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], missing)
+        return np.where(keys[at] == h, values[at].astype(np.float64), missing)
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Natural logarithms, a row for each gram and a column for each language."""
@@ -191,8 +193,11 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     grams = written(rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     place = F.xxhash64("gram").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int")
-    table = kneser_ney(grams).groupBy("lang", "k", "weight", place.alias("h")).agg(F.max("value").cast("float").alias("value")).toArrow()
-    return Model(table) if table.num_rows else None
+    table = kneser_ney(grams).groupBy("lang", F.col("k").cast("byte").alias("k"), "weight", place.alias("h")).agg(F.max("value").cast("float").alias("value")).toArrow()
+    model = Model(table) if table.num_rows else None
+    del table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _score(model) -> Callable:
@@ -256,19 +261,24 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
         return rows.select("doc_id", "training", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"))
     schema = T.StructType([*rows.schema.fields[:3], *(T.StructField(n, T.LongType()) for n in ("grams", "letters")), T.StructField("cross", T.ArrayType(T.DoubleType()))])
     best = F.array_min("cross")
+    shared = spark.sparkContext.broadcast(model)
     scored = written(
-        rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+        rows.mapInArrow(_score(shared), schema)
         .withColumn("best", best)
         .withColumn("lang_pred", F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("cross", best).cast("int")))
         .withColumn("length", F.floor(F.log2(F.col("grams") + 1)).cast("int"))
     )
+    # The scores are written: nothing reads the tables again.
+    shared.destroy()
+    langs, letters = model.langs, model.letters
+    del model
 
     def softmax(heat: Column, away: Column) -> Column:
         size = F.least("grams", F.lit(400))
         return F.exp(-heat * size * away) / F.aggregate("cross", F.lit(0.0), lambda s, x: s + F.exp(-heat * size * (x - F.col("best"))))
 
     known = scored.filter("training and lang is not null and letters > 0")
-    own = F.element_at("cross", F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int"))
+    own = F.element_at("cross", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int"))
     fit = known.withColumn("away", own - F.col("best")).agg(
         *(F.avg(F.log(F.greatest(softmax(F.lit(t), F.col("away")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))
     ).first()
@@ -277,7 +287,7 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
     # At most one row for each language and power of two.
     scored = scored.join(F.broadcast(usual), ["lang_pred", "length"], "left")
     limit = F.greatest(F.col("mean") + REJECT_DEVIATIONS * F.greatest("spread", F.lit(0.02)), F.lit(REJECT_FACTOR) * F.coalesce("worst", F.lit(0.0)))
-    far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(model.letters))))
+    far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(letters))))
     blank = F.col("letters") == 0
     return scored.select(
         "doc_id", "training",

@@ -276,6 +276,9 @@ def jaccard_components(
     )
 
     short = postings.filter(F.col("size") <= long_list)
+    # Written tables are read from here on: the counts and the tokens' bitmap are not needed any more.
+    counts.destroy()
+    shared.destroy()
     a, b = short.alias("x"), short.alias("y")
     enough = "100 * (least(x.at, y.at) + least(x.n - x.at, y.n - y.at)) * 1L"
     pairs = written(
@@ -292,7 +295,9 @@ def jaccard_components(
     def candidates(ids: DataFrame, name: str) -> DataFrame:
         """One row for each set named by ``ids``; the shingles of other sets stay out of the shuffle."""
         wanted = spark.sparkContext.broadcast(bitmap_of(ids, "sid"))
-        return written(only.mapInArrow(_of_candidates(words, wanted, name), f"sid long, n int, {name} binary").dropDuplicates(["sid"]))
+        rows = written(only.mapInArrow(_of_candidates(words, wanted, name), f"sid long, n int, {name} binary").dropDuplicates(["sid"]))
+        wanted.destroy()
+        return rows
 
     def side(kept: DataFrame, name: str, to: str, key: str) -> DataFrame:
         return kept.select(F.col("sid").alias(key), F.col(name).alias(to))
