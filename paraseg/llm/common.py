@@ -170,27 +170,29 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1 == 1
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` of every id that ``links(a, b)`` names: root is the smallest id it can reach.
 
     Large-star and small-star steps in turn: each joins every id with the smallest of its neighbours, so long chains
-    shrink by a factor a round. Minima are combined before the shuffle; rounds go through written tables.
+    shrink by a factor a round. Minima are combined before the shuffle; rounds go through written tables. It ends when
+    the links are stars: every id has one smaller neighbour at most, and the smaller neighbour has none.
     """
     edges = written(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    for _ in range(rounds):
+    while _not_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         down = large.filter("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*")
-        after = written(small.filter("a <> b").distinct())
-        change = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not change:
-            break
+        edges = written(small.filter("a <> b").distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
+def _not_stars(edges: DataFrame) -> bool:
+    """Whether an id has two smaller neighbours, or one that has a smaller neighbour itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("below")), F.struct(F.col("b").alias("id"), F.lit(0).alias("below")))).alias("x")).select("x.*")
+    ids = ends.groupBy("id").agg(F.sum("below").alias("below"), F.min("below").alias("is_root"))
+    return not ids.filter("below > 1 or (below = 1 and is_root = 0)").isEmpty()

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paraseg.llm import chat, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
+from paraseg.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "doc_id long, text string, lang string, source string, n_chars long, h long, n long, at int"
@@ -82,6 +83,22 @@ def test_ngram_join_equals_brute_force(spark, long_list, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in found} == brute_components(rows)
 
 
+@pytest.mark.parametrize("links", [
+    [(i, i + 1) for i in range(60)],
+    [(0, i) for i in range(1, 200)] + [(500, 501), (501, 499), (7, 7)],
+    [(1000 - i, (7 * i) % 90) for i in range(60)],
+    [],
+])
+def test_components_are_the_smallest_ids_in_reach(spark, links):
+    smallest = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in range(len(links)):
+        for a, b in links:
+            if a != b:
+                smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert dict(found) == {a: b for a, b in smallest.items() if a != b} and len(found) == len(dict(found))
+
+
 def test_ngram_join_edges(edges, empty):
     rows = ngram_join.jaccard_components(edges).collect()
     assert len(rows) == 7
@@ -241,8 +258,8 @@ def test_quality_held_out_and_edges(spark, edges, empty):
     rng = random.Random(6)
     good = lambda: "\n".join(words_of(rng, 12) + "." for _ in range(6))
     bad = lambda: "\n".join(" ".join(w.upper() + "!!" for w in words_of(rng, 12).split()) for _ in range(6))
-    rows = [(i, good() if i % 3 else bad()) for i in range(300)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    rows = [(i, good() if i % 3 else bad()) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
     scored = quality.score_documents(docs, labels, F.col("doc_id") % 5 != 0).collect()
     assert all(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in scored)
     assert {r["score"] for r in quality.score_documents(edges, labels.limit(0), F.lit(True)).collect()} == {0.5}
