@@ -9,6 +9,10 @@ from paraseg.fixed import DOCUMENT
 from paraseg.functions.text import EXTRA_LINE_ENDS, has_line_end, is_blank, split_lines
 from paraseg.session import broadcast_if_small
 
+#: A split is a row of 36 bytes; at the usual 128 MB a split, so many hold 128 TB.
+BROADCAST_SPLITS = 1_000_000
+SEGMENT_ROW = "run_id string, doc_id string, seg_id bigint, text string"
+
 
 def split_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per line of a text column, numbered from 0 in each document.
@@ -34,7 +38,8 @@ def read_segments(
 
     Line numbers are dense although a file may be read in many splits: a first
     pass counts the lines of each split, and the running totals of that small
-    table shift the line numbers of the second pass. The text is not shuffled.
+    table shift the line numbers of the second pass. The text is not shuffled
+    unless there are more than ``BROADCAST_SPLITS`` splits.
     """
     if document not in ("file", "directory"):
         raise ValueError(f"document must be 'file' or 'directory', not {document!r}")
@@ -56,22 +61,27 @@ def read_segments(
         F.col("_metadata.file_block_start").alias("block"),
         F.explode(F.split("value", EXTRA_LINE_ENDS)).alias("text"),
     ).withColumn("line", F.monotonically_increasing_id())
+    # The upper bits of the line are the number of the task. A task reads its splits one
+    # after the other, so a task and a range of lines name a split.
+    lines = lines.withColumn("task", F.shiftright("line", 33).cast("int"))
 
     in_document = Window.partitionBy(*DOCUMENT)
     before = in_document.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        lines.groupBy(*DOCUMENT, "file", "block")
+        lines.groupBy(*DOCUMENT, "file", "block", "task")
         .agg(
             F.count("*").alias("n"),
             F.min("line").alias("first"),
+            F.max("line").alias("end"),
             F.max(F.when(~is_blank(F.col("text")), F.col("line"))).alias("last"),
         )
         .withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
         .withColumn("last_seg", F.max(F.col("last") + F.col("shift")).over(in_document))
-        .select("file", "block", "shift", "last_seg")
+        .select("task", "first", "end", "shift", "last_seg")
     )
     return (
-        lines.join(broadcast_if_small(splits), ["file", "block"])
+        lines.join(broadcast_if_small(splits, BROADCAST_SPLITS), "task")
+        .filter("line between first and end")
         .withColumn("seg_id", F.col("line") + F.col("shift"))
         .filter(F.col("seg_id") <= F.col("last_seg"))
         .select(*DOCUMENT, "seg_id", "text")
@@ -81,6 +91,8 @@ def read_segments(
 def write_segments(segments: DataFrame, path: str, on_line_end: str = "keep") -> None:
     """Write each document's segments, one per line, in part files in line order.
 
+    Every document is a folder, so this is for few of them; many go into one table
+    (``write_segment_table``).
     Concatenating a document's part files by name gives the aligned file.
     A segment that itself contains a line end would shift all later lines when
     read back: ``on_line_end="error"`` fails the job on one, ``"keep"`` writes
@@ -103,5 +115,26 @@ def write_segments(segments: DataFrame, path: str, on_line_end: str = "keep") ->
     )
 
 
+def write_segment_table(segments: DataFrame, path: str) -> None:
+    """Write all documents together: JSON lines with run, document and position, in line order.
+
+    The number of files follows the size of the texts, not the number of documents,
+    and a segment may hold line ends. ``read_segment_table`` reads it back.
+    """
+    (
+        segments.select(*DOCUMENT, "seg_id", "text")
+        .repartitionByRange(*DOCUMENT, "seg_id")
+        .sortWithinPartitions(*DOCUMENT, "seg_id")
+        .write.mode("overwrite")
+        .option("ignoreNullFields", "false")
+        .json(path)
+    )
+
+
+def read_segment_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read what ``write_segment_table`` wrote."""
+    return spark.read.schema(SEGMENT_ROW).json(path)
+
+
 def rows_with_line_ends(segments: DataFrame) -> DataFrame:
     return segments.filter(has_line_end(F.col("text")))

@@ -6,8 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import segments, texts_of
-from paraseg import session
-from paraseg.sources.segments import read_segments, rows_with_line_ends, write_segments
+from paraseg.sources import segments as files
+from paraseg.sources.segments import (
+    read_segment_table,
+    read_segments,
+    rows_with_line_ends,
+    write_segment_table,
+    write_segments,
+)
 
 FILES = {
     "plain": "a\nb\nc\n",
@@ -50,7 +56,7 @@ def test_lines_of_files(spark, tmp_path):
 @pytest.mark.parametrize("broadcast_rows", [100_000, 0])
 def test_line_numbers_are_dense_over_many_splits(spark, tmp_path, monkeypatch, broadcast_rows):
     """Also beyond the size up to which the table of splits is broadcast."""
-    monkeypatch.setattr(session.broadcast_if_small, "__defaults__", (broadcast_rows,))
+    monkeypatch.setattr(files, "BROADCAST_SPLITS", broadcast_rows)
     rng = random.Random(5)
     texts = {}
     for name in ("one", "two", "three"):
@@ -126,3 +132,34 @@ def test_names_that_look_like_numbers_stay_apart(spark, tmp_path):
     write_segments(frame, str(tmp_path / "out"))
     read = read_segments(spark, str(tmp_path / "out")).collect()
     assert {(r["doc_id"], r["seg_id"], r["text"]) for r in read} == {(n, 0, n) for n in ("007", "7", "1.50")}
+
+
+def test_a_table_keeps_many_documents_in_few_files(spark, tmp_path):
+    rows = [("r", f"{i:03}", j, text) for i in range(300) for j, text in enumerate(("a\nb", "", None, " x\u2028"))]
+    frame = spark.createDataFrame(rows, "run_id string, doc_id string, seg_id long, text string")
+    write_segment_table(frame, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 4 and not list((tmp_path / "out").glob("*=*"))
+    assert sorted(map(tuple, read_segment_table(spark, str(tmp_path / "out")).collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_text_moves_only_beyond_the_limit_of_splits(spark, tmp_path, monkeypatch, most):
+    """Small files share a task, a large one is cut; the text is shuffled only if the offsets are too many."""
+    monkeypatch.setattr(files, "BROADCAST_SPLITS", most)
+    texts = {f"f{i}": [f"{i} {j}" for j in range(300 if i == 3 else 4)] for i in range(12)}
+    for name, held in texts.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(held) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "50")
+    # Only the hint counts, not the planner's own limit.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = read_segments(spark, str(tmp_path))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan) == (most == 1000)
+        found = by_stem(frame)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {name: list(enumerate(held)) for name, held in texts.items()}

@@ -22,7 +22,12 @@ from paraseg.plans.translate import translate_segments
 from paraseg.session import shared_dir, written
 from paraseg.sources import naming, records
 from paraseg.sources.pairs import read_pairs
-from paraseg.sources.segments import read_segments, write_segments
+from paraseg.sources.segments import (
+    read_segment_table,
+    read_segments,
+    write_segment_table,
+    write_segments,
+)
 from workload import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +80,15 @@ def s2_write_read(spark, sf_dir):
     return rows.select(*SEGMENT, digest("text").alias("text_md5"))
 
 
+@query
+def s2_table(spark, sf_dir):
+    """All documents in one table, each kept apart, read back."""
+    path = scratch(spark)
+    write_segment_table(fx.spaced_segments(spark, sf_dir), path)
+    rows = read_segment_table(spark, path)
+    return rows.select(*SEGMENT, digest("text").alias("text_md5"))
+
+
 @query
 def s3_pairs_scan(spark, sf_dir):
     """Any two text columns can be the sides of a pair."""
