@@ -9,7 +9,8 @@ most 2**HASH_BITS entries whatever the corpus: what is broadcast is at most abou
 The language with the lowest cross-entropy per character wins. Its score is a softmax whose temperature is chosen on
 the training rows; a text is rejected when its cross-entropy
 is far beyond that of training texts of the language and of like length: ``REJECT_DEVIATIONS`` standard deviations above
-their mean and ``REJECT_FACTOR`` times the highest of them.
+their mean and ``REJECT_FACTOR`` times the highest of them. Where no such text has the length, the nearest length counts,
+with wider bounds for shorter texts; a language without any rejects beyond a uniform choice of letters.
 """
 
 from __future__ import annotations
@@ -284,9 +285,13 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
     ).first()
     heat = max(zip(TEMPERATURES, fit), key=lambda x: x[1] if x[1] is not None else -1e9)[0]
     usual = known.filter("lang = lang_pred").groupBy("lang_pred", "length").agg(F.avg("best").alias("mean"), F.coalesce(F.stddev_pop("best"), F.lit(0.0)).alias("spread"), F.max("best").alias("worst"))
-    # At most one row for each language and power of two.
-    scored = scored.join(F.broadcast(usual), ["lang_pred", "length"], "left")
-    limit = F.greatest(F.col("mean") + REJECT_DEVIATIONS * F.greatest("spread", F.lit(0.02)), F.lit(REJECT_FACTOR) * F.coalesce("worst", F.lit(0.0)))
+    usual = usual.groupBy("lang_pred").agg(F.collect_list(F.struct("length", "mean", "spread", "worst")).alias("usual"))
+    # At most one row for each language, with one entry for each power of two.
+    scored = scored.join(F.broadcast(usual), "lang_pred", "left")
+    # Without training texts of the length, those of the nearest length count; shorter texts vary more.
+    near = F.array_min(F.transform("usual", lambda u: F.struct(F.abs(u["length"] - F.col("length")).alias("off"), u.alias("of"))))["of"]
+    shorter = F.pow(F.lit(2.0), F.greatest(near["length"] - F.col("length"), F.lit(0)) / 2)
+    limit = F.greatest(near["mean"] + REJECT_DEVIATIONS * F.greatest(near["spread"], F.lit(0.02)) * shorter, REJECT_FACTOR * near["worst"] * shorter)
     far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(letters))))
     blank = F.col("letters") == 0
     return scored.select(

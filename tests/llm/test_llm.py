@@ -129,6 +129,16 @@ def test_langid_held_out(spark):
     assert langid.identify(docs.union(alien), F.lit(True)).filter("doc_id = 1000000").first()["rejected"]
 
 
+def test_langid_lengths_without_training_texts(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices(["ka", "to", "mi", "ra"], k=3)) for _ in range(n))
+    rows = [(i, text(30), "aa") for i in range(40)] + [(100, text(3000), "aa"), (101, text(2), "aa")]
+    alien = [(102, "Ωζψ ψξζ Ωφχ " * 3000, None)]
+    docs = spark.createDataFrame(rows + alien, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["rejected"] for r in langid.identify(docs, F.col("doc_id") < 100).collect()}
+    assert not found[100] and not found[101] and found[102]
+
+
 def test_langid_probabilities_sum_to_one(spark):
     rows = [("en", "the cat and the hat and the rat")]
     grams = spark.createDataFrame(rows, "lang string, text string").mapInArrow(langid._count_grams, "lang string, gram long, n long")
