@@ -1,8 +1,9 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences and normalised; sentences of a fixed list have identifiers; the sequence of a document's
-identifiers is matched against ordered rules, longest first. A rule matches where its identifiers follow one another, with
-at most ``GAP`` other sentences in between; its sentences serve no later rule.
+Texts are cut into pieces at sentence ends, semicolons, colons and line ends, and normalised. A sentence of a fixed list is
+known where one piece or a run of pieces makes it up, so wrapped lines and comment signs do not matter. The sequence of a
+document's identifiers is matched against ordered rules, longest first. A rule matches where its identifiers follow one
+another, with at most ``GAP`` other pieces in between (blank ones don't count); its sentences serve no later rule.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paraseg.llm.common import arrow_limits
+
 GAP = 2
 # Sentences that licences and their notices are made of, normalised, by identifier.
 SENTENCES = {
@@ -22,9 +25,9 @@ SENTENCES = {
     "apache-basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "apache-see": ["see the license for the specific language governing permissions and limitations under the license"],
     "mit-short": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as-is": ["the software is provided as is without warranty of any kind express or implied"],
+    "as-is": ["the software is provided as is without warranty of any kind express or implied", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
     "gpl3-short": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
     "gpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
@@ -54,46 +57,64 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-short"]),
     ("CC-BY-4.0", ["cc-by-short"]),
 ]
-BREAK = r"(?:(?<=[.;:!?])\s+(?=[^\s])|\n+)"
+# The address in the Apache notice has no full stop.
+BREAK = r"(?:(?<=[.;:!?])\s+(?=[^\s])|\n+|(?<=LICENSE-2\.0)\s+(?=Unless))"
+KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
+_HEADS = {" ".join(text.split()[:n]) for text in KNOWN for n in range(1, len(text.split()) + 1)}
+
+
 def normalised(sentence: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one blank."""
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def sentence_table(spark: SparkSession) -> DataFrame:
-    """``(sentence, known)`` of the fixed list."""
-    rows = [(text, name) for name, texts in SENTENCES.items() for text in texts]
-    return spark.createDataFrame(rows, "sentence string, known string")
+def known_sentences(pieces: list[str]) -> list[tuple[int, int, str]]:
+    """First and last piece and identifier of each known sentence; a run of pieces can make up one."""
+    found = []
+    for i, piece in enumerate(pieces):
+        text, j, longest = piece, i, None
+        while text in _HEADS:
+            if text in KNOWN:
+                longest = (i, j, KNOWN[text])
+            j += 1
+            if j == len(pieces):
+                break
+            text += " " + pieces[j]
+        if longest:
+            found.append(longest)
+    return found
 
 
-def match(sequence: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
-    """Rule, first and last sentence of each match in ``(place, identifier)`` pairs in order."""
+def match(sequence: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """Rule, first and last piece of each match in ``(first, last, identifier)`` in order."""
     used, found = [False] * len(sequence), []
     for rule, (_, names) in enumerate(RULES):
         for i in range(len(sequence) - len(names) + 1):
             window = range(i, i + len(names))
-            fits = all(not used[j] and sequence[j][1] == name for j, name in zip(window, names))
-            if fits and all(sequence[j + 1][0] - sequence[j][0] <= GAP + 1 for j in window[:-1]):
+            fits = all(not used[j] and sequence[j][2] == name for j, name in zip(window, names))
+            if fits and all(sequence[j + 1][0] - sequence[j][1] <= GAP + 1 for j in window[:-1]):
                 for j in window:
                     used[j] = True
-                found.append((rule, sequence[i][0], sequence[window[-1]][0]))
+                found.append((rule, sequence[i][0], sequence[window[-1]][1]))
     return found
 
 
 def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, sentences in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows += [(doc, RULES[rule][0], rule, a, z) for rule, a, z in match([(x["at"], x["known"]) for x in sentences])]
+        for doc, h, pieces in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            places = [i for i, piece in enumerate(pieces) if piece]
+            rows += [(doc, h, RULES[rule][0], rule, places[a], places[z]) for rule, a, z in match(known_sentences([pieces[i] for i in places]))]
         if rows:
-            types = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "license", "rule", "first_sentence", "last_sentence"])
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "h", "license", "rule", "first_sentence", "last_sentence"])
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, rule, first_sentence, last_sentence)``: one row for each match of a rule in a document.
 
-    ``rule`` is the rule's place in the order, sentences count from 0. A licence can match more than once. Null and
+    ``rule`` is the rule's place in the order, sentences (pieces)
+    count from 0. A licence can match more than once. Null and
     empty texts match nothing; rows that repeat an id are scanned apart if their texts differ; extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -101,10 +122,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # A known sentence needs one of these words.
     words = r"(?i)licen[cs]|permission|redistribut|copyright|warrant|free software"
     rows = rows.filter(F.regexp_like("text", F.lit(words)))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", BREAK)).alias("at", "sentence"))
-    rows = rows.select("doc_id", "h", "at", normalised(F.col("sentence")).alias("sentence"))
-    # The list is fixed, so its size is.
-    known = rows.join(F.broadcast(sentence_table(docs.sparkSession)), "sentence").select("doc_id", "h", "at", "known").distinct()
-    lists = known.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "known"))).alias("sentences"))
+    arrow_limits(docs.sparkSession)
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.transform(F.split("text", BREAK), normalised).alias("pieces"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return lists.select("doc_id", "sentences").mapInArrow(_match_rows, f"doc_id {kind}, license string, rule int, first_sentence int, last_sentence int")
+    return rows.mapInArrow(_match_rows, f"doc_id {kind}, h long, license string, rule int, first_sentence int, last_sentence int").distinct().drop("h")
