@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
-    groups = ngram_join.jaccard_components(docs, words=4, percent=85)
+    """The document with the smallest id of each group of documents linked by five-word shingles at 0.8 or more."""
+    groups = ngram_join.jaccard_components(docs, words=5, percent=80)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
 

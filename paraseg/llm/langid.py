@@ -9,7 +9,7 @@ most 2**HASH_BITS entries whatever the corpus: what is broadcast is at most abou
 The language with the lowest cross-entropy per character wins. Its score is a softmax whose temperature is chosen on
 the training rows; a text is rejected when its cross-entropy
 is far beyond that of training texts of the language and of like length: ``REJECT_DEVIATIONS`` standard deviations above
-their mean and ``REJECT_FACTOR`` times the highest of them. Where no such text has the length, the nearest length counts,
+their median and ``REJECT_FACTOR`` times it. Where few such texts have the length, the nearest length with enough counts,
 with wider bounds for shorter texts; a language without any rejects beyond a uniform choice of letters.
 """
 
@@ -30,6 +30,7 @@ HASH_BITS = 20
 TEMPERATURES = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 REJECT_DEVIATIONS = 8.0
 REJECT_FACTOR = 1.5
+REJECT_ROWS = 8
 UNKNOWN = "und"
 _U = np.uint64
 _SLOT_BITS = 19
@@ -245,6 +246,27 @@ def _score(model) -> Callable:
     return run
 
 
+def usual_scores(known: DataFrame) -> DataFrame:
+    """``(lang_pred, usual)``: number, median and spread (from the upper quartile) of the cross-entropies of each length.
+
+    Quantiles of all rows, not means or maxima: a few junk rows do not move them.
+    """
+    cuts = F.percentile_approx("best", [0.5, 0.75], 10000)
+    usual = known.groupBy("lang_pred", "length").agg(F.count("*").alias("rows"), cuts.alias("cuts"))
+    usual = usual.select("lang_pred", "length", F.col("cuts")[0].alias("middle"), ((F.col("cuts")[1] - F.col("cuts")[0]) / 0.6745).alias("spread"), (F.col("rows") < REJECT_ROWS).alias("few"))
+    return usual.groupBy("lang_pred").agg(F.collect_list(F.struct("length", "middle", "spread", "few")).alias("usual"))
+
+
+def reject_limit() -> Column:
+    """The highest usual cross-entropy of a row ``(length, usual)``; null without training texts.
+
+    The nearest length with ``REJECT_ROWS`` training texts counts, else the nearest with any; shorter texts vary more.
+    """
+    near = F.array_min(F.transform("usual", lambda u: F.struct(u["few"].alias("few"), F.abs(u["length"] - F.col("length")).alias("off"), u.alias("of"))))["of"]
+    shorter = F.pow(F.lit(2.0), F.greatest(near["length"] - F.col("length"), F.lit(0)) / 2)
+    return F.greatest(near["middle"] + REJECT_DEVIATIONS * F.greatest(near["spread"], F.lit(0.02)) * shorter, REJECT_FACTOR * near["middle"] * shorter)
+
+
 def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``(doc_id, training, lang_pred, score, rejected, cross_entropy)`` of every row.
 
@@ -284,14 +306,10 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
         *(F.avg(F.log(F.greatest(softmax(F.lit(t), F.col("away")), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))
     ).first()
     heat = max(zip(TEMPERATURES, fit), key=lambda x: x[1] if x[1] is not None else -1e9)[0]
-    usual = known.filter("lang = lang_pred").groupBy("lang_pred", "length").agg(F.avg("best").alias("mean"), F.coalesce(F.stddev_pop("best"), F.lit(0.0)).alias("spread"), F.max("best").alias("worst"))
-    usual = usual.groupBy("lang_pred").agg(F.collect_list(F.struct("length", "mean", "spread", "worst")).alias("usual"))
+    usual = usual_scores(known.filter("lang = lang_pred"))
     # At most one row for each language, with one entry for each power of two.
     scored = scored.join(F.broadcast(usual), "lang_pred", "left")
-    # Without training texts of the length, those of the nearest length count; shorter texts vary more.
-    near = F.array_min(F.transform("usual", lambda u: F.struct(F.abs(u["length"] - F.col("length")).alias("off"), u.alias("of"))))["of"]
-    shorter = F.pow(F.lit(2.0), F.greatest(near["length"] - F.col("length"), F.lit(0)) / 2)
-    limit = F.greatest(near["mean"] + REJECT_DEVIATIONS * F.greatest(near["spread"], F.lit(0.02)) * shorter, REJECT_FACTOR * near["worst"] * shorter)
+    limit = reject_limit()
     far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(letters))))
     blank = F.col("letters") == 0
     return scored.select(

@@ -140,6 +140,14 @@ def test_langid_lengths_without_training_texts(spark):
     assert not found[100] and not found[101] and found[102]
 
 
+def test_langid_one_junk_training_text_does_not_end_rejection(spark):
+    rows = [("aa", 7, 2.0 + i / 200) for i in range(20)] + [("aa", 7, 7.5), ("aa", 9, 8.0)]
+    usual = langid.usual_scores(spark.createDataFrame(rows, "lang_pred string, length int, best double"))
+    asked = spark.createDataFrame([("aa", n) for n in (7, 8, 9)], "lang_pred string, length int")
+    limits = [r["x"] for r in asked.join(usual, "lang_pred").select(langid.reject_limit().alias("x")).collect()]
+    assert len(limits) == 3 and all(2.1 < x < 4 for x in limits)
+
+
 def test_langid_probabilities_sum_to_one(spark):
     rows = [("en", "the cat and the hat and the rat")]
     grams = spark.createDataFrame(rows, "lang string, text string").mapInArrow(langid._count_grams, "lang string, gram long, n long")

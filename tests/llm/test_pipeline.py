@@ -28,3 +28,12 @@ def test_every_stage_takes_effect(spark):
     assert kept[3].count() == kept[2].count()
     assert pii.find(kept[3]).filter(F.size("base") > 0).count() == 0
     assert 0 < docs.count() < kept[3].count()
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(100)]
+    # Five-word similarity 86 / 106.
+    texts = [" ".join(words), " ".join(words[:90] + [f"x{i}" for i in range(10)]), " ".join(f"y{i}" for i in range(100))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
