@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import chat, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
+from paraseg.llm import chat, decontaminate, fill_middle, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
 from paraseg.llm.common import written
 from paraseg.session import shared_dir
 
@@ -168,3 +168,39 @@ def op8_quality(spark, sf_dir):
     """Quality of every document, learnt from the labels of four folds of five."""
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(fold(5) != 0, F.lit(False)))
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_fill_middle(spark, sf_dir):
+    """Every document cut at two drawn units and put in another order, and its text restored from that."""
+    moved = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_middle"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+    FROM d
+), c AS (
+    SELECT *, len(units) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+            WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM u
+), p AS (
+    SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS head, array_to_string(units[a + 1:z], '') AS body,
+        array_to_string(units[z + 1:], '') AS tail
+    FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head) END::BIGINT AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(body) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || body
+        ELSE '<S>' || tail || '<P>' || head || '<M>' || body END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""
