@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import chat, decontaminate, fill_middle, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
+from paraseg.llm import chat, decontaminate, fill_middle, fingerprint, langid, license_scan, mixing, ngram_join, periodic, pii, quality, warc
 from paraseg.llm.common import written
 from paraseg.session import shared_dir
 
@@ -204,3 +204,70 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head)
     sha256(text) AS restored_sha256
 FROM p
 """
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; in a tenth of the documents, told by the id, all words from some word on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    a = F.pmod(g, n)
+    rows = rows.select("doc_id", "text", "words", n.alias("n"), F.when(n > 0, a).alias("a"), F.when(n > 0, 1 + F.floor((n - a) / (3 + g % 8))).alias("p"))
+    size = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a").cast("int") + 1, F.col("p").cast("int")), F.ceil(size / F.col("p")).cast("int")))
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), size.cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of every document, the longest of each, and the text without the repetitions."""
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.n") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op12_periodic_runs"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))
+    )) AS h
+    FROM documents
+), g AS (
+    SELECT *, len(words) AS n, h // 10 AS g FROM d
+), a AS (
+    SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g
+), p AS (
+    SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a
+), w AS (
+    SELECT doc_id, n, i, words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), equal AS (
+    SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal
+), stretches AS (
+    SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM islands GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS listed,
+        min((-length, start, period)) AS best
+    FROM runs GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM w
+    WHERE NOT EXISTS (FROM runs r WHERE r.doc_id = w.doc_id AND i >= r.start + r.period AND i < r.start + r.length)
+    GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[2]::BIGINT AS start, (-best[1])::BIGINT AS length, best[3]::BIGINT AS period,
+    (1000 * -best[1] // best[3])::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+    sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
