@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraseg.llm import chat, decontaminate, fill_middle, fingerprint, langid, license_scan, mixing, ngram_join, periodic, pii, quality, warc
+from paraseg.llm import chat, decontaminate, fill_middle, fingerprint, langid, license_scan, mixing, ngram_join, periodic, pii, quality, suffix_dedup, warc
 from paraseg.llm.common import written
 from paraseg.session import shared_dir
 
@@ -271,3 +271,39 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[2]::BIGINT AS start,
     sha256(coalesce(kept.words, '')) AS collapsed_sha256
 FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op11_suffix_dedup(spark, sf_dir):
+    """Every document without the bytes of 50-byte strings that start in a document with a smaller id."""
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), size=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+    SELECT doc_id, k, h[512 * k + 1:512 * k + 610] AS piece FROM (SELECT *, unnest(range(len(h) // 512 + 1)) AS k FROM d)
+), s AS (
+    SELECT doc_id, 256 * k + j AS i, piece[2 * j + 1:2 * j + 100] AS string FROM (SELECT *, unnest(range(least(256, len(piece) // 2 - 49))) AS j FROM pieces)
+), owned AS (
+    SELECT string, min(doc_id) AS owner FROM s GROUP BY string HAVING min(doc_id) < max(doc_id)
+), late AS (
+    SELECT doc_id, i FROM s JOIN owned USING (string) WHERE doc_id > owner
+), edges AS (
+    SELECT *, coalesce(i > 50 + lag(i) OVER w, true) AS opens FROM late WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+    SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edges
+), spans AS (
+    SELECT doc_id, span, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, span
+), gaps AS (
+    SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans
+), kept AS (
+    SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(h[2 * kept_from + 1:2 * a], '' ORDER BY a) || any_value(h)[2 * max(z) + 1:] AS rest
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
