@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -60,6 +60,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once for each row, whatever reads them.
+
+    The planner copies the expression of a plain column into every filter and
+    projection above; it does not copy what a generator makes.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(column.alias(name) for name, column in columns.items())))))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the written table is small, else leave the join to shuffle.
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from paraseg.fixed import DOCUMENT
 from paraseg.functions.text import EXTRA_LINE_ENDS, has_line_end, is_blank, split_lines
-from paraseg.session import broadcast_if_small
+from paraseg.session import broadcast_if_small, written
 
 #: A split is a row of 36 bytes; at the usual 128 MB a split, so many hold 128 TB.
 BROADCAST_SPLITS = 1_000_000
+#: Names a split: the hash only has to tell apart files that one task reads from the same place on.
+SPLIT = ["task", "block", "file_hash"]
 SEGMENT_ROW = "run_id string, doc_id string, seg_id bigint, text string"
 
 
@@ -36,10 +38,12 @@ def read_segments(
     part files of a folder, in name order, into one. A folder tree written by
     ``write_segments`` keeps its own ``run_id`` and ``doc_id``.
 
-    Line numbers are dense although a file may be read in many splits: a first
-    pass counts the lines of each split, and the running totals of that small
-    table shift the line numbers of the second pass. The text is not shuffled
-    unless there are more than ``BROADCAST_SPLITS`` splits.
+    Line numbers are dense although a file may be read in many splits. The splits
+    are told apart in one pass only, which writes the lines with the split of each
+    into the shared folder; the lines of each split are counted from that table, and
+    the running totals of the small table of counts shift its line numbers. So the
+    numbers do not hang on how a later read would cut the files. The text is not
+    shuffled unless there are more than ``BROADCAST_SPLITS`` splits.
     """
     if document not in ("file", "directory"):
         raise ValueError(f"document must be 'file' or 'directory', not {document!r}")
@@ -54,34 +58,28 @@ def read_segments(
     else:
         doc_id = file if document == "file" else F.regexp_replace(file, "/[^/]*$", "")
     run = F.col("run_id").cast("string") if "run_id" in partition_columns else F.lit(run_id)
+    text = F.explode(F.split("value", EXTRA_LINE_ENDS))
     lines = raw.select(
-        run.alias("run_id"),
-        doc_id.alias("doc_id"),
-        file.alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.explode(F.split("value", EXTRA_LINE_ENDS)).alias("text"),
+        run.alias("run_id"), doc_id.alias("doc_id"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("text")
     ).withColumn("line", F.monotonically_increasing_id())
-    # The upper bits of the line are the number of the task. A task reads its splits one
-    # after the other, so a task and a range of lines name a split.
-    lines = lines.withColumn("task", F.shiftright("line", 33).cast("int"))
-
+    # A task reads its splits one after the other, each in line order; its number is in the upper bits of the line.
+    lines = written(
+        lines.select(
+            "*", F.shiftright("line", 33).cast("int").alias("task"), F.xxhash64("file").alias("file_hash"),
+            (~is_blank(F.col("text"))).alias("has_text"),
+        )
+    )
     in_document = Window.partitionBy(*DOCUMENT)
     before = in_document.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        lines.groupBy(*DOCUMENT, "file", "block", "task")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("line").alias("first"),
-            F.max("line").alias("end"),
-            F.max(F.when(~is_blank(F.col("text")), F.col("line"))).alias("last"),
-        )
+        lines.groupBy(*DOCUMENT, "file", "file_hash", "block", "task")
+        .agg(F.count("*").alias("n"), F.min("line").alias("first"), F.max(F.when(F.col("has_text"), F.col("line"))).alias("last"))
         .withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
         .withColumn("last_seg", F.max(F.col("last") + F.col("shift")).over(in_document))
-        .select("task", "first", "end", "shift", "last_seg")
+        .select(*SPLIT, "shift", "last_seg")
     )
     return (
-        lines.join(broadcast_if_small(splits, BROADCAST_SPLITS), "task")
-        .filter("line between first and end")
+        lines.join(broadcast_if_small(splits, BROADCAST_SPLITS), SPLIT)
         .withColumn("seg_id", F.col("line") + F.col("shift"))
         .filter(F.col("seg_id") <= F.col("last_seg"))
         .select(*DOCUMENT, "seg_id", "text")

@@ -163,3 +163,30 @@ def test_text_moves_only_beyond_the_limit_of_splits(spark, tmp_path, monkeypatch
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {name: list(enumerate(held)) for name, held in texts.items()}
+
+
+@pytest.mark.parametrize("later", [
+    {"spark.sql.files.maxPartitionBytes": "5000"},
+    {"spark.sql.files.openCostInBytes": "9000", "spark.sql.files.maxPartitionBytes": "20000"},
+    {"spark.sql.files.minPartitionNum": "1"},
+    {"spark.sql.files.minPartitionNum": "40", "spark.sql.files.openCostInBytes": "1"},
+])
+def test_numbers_do_not_hang_on_the_splits_of_a_later_read(spark, tmp_path, later):
+    """Settings, and with them the split plan, change between the call and the action."""
+    texts = {f"f{i}": [f"{i} {j}" + " " * (j % 7) for j in range(2000 if i < 3 else 3)] for i in range(9)}
+    for name, held in texts.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(held) + "\n\n")
+    first = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "100"}
+    try:
+        for key, value in first.items():
+            spark.conf.set(key, value)
+        frame = read_segments(spark, str(tmp_path))
+        before = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        for key, value in later.items():
+            spark.conf.set(key, value)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() != before or "1" in later.values()
+        found = by_stem(frame)
+    finally:
+        for key in {*first, *later}:
+            spark.conf.unset(key)
+    assert found == {name: list(enumerate(lines("\n".join(held)))) for name, held in texts.items()}
