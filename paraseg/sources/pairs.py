@@ -11,9 +11,7 @@ from paraseg.session import broadcast_if_small
 def require_columns(table: DataFrame, required: list[str], where: str) -> None:
     missing = sorted(set(required) - set(table.columns))
     if missing:
-        raise ValueError(
-            f"Parquet at {where} is missing expected columns: {missing}. Found: {table.columns}"
-        )
+        raise ValueError(f"No column {missing} in {where}, only {table.columns}.")
 
 
 def read_pairs(

@@ -140,7 +140,7 @@ def test_record_of_a_plan(spark):
     ((ENGLISH, FRENCH, FRENCH[1:]), "1:1 alignment"),
     ((ENGLISH[1:], FRENCH, FRENCH), "1:1 alignment"),
     (([], FRENCH, []), "1:1 alignment"),
-    (([], [], []), "Empty corpus"),
+    (([], [], []), "nothing to score"),
 ])
 def test_what_a_plan_refuses_to_score(spark, sides, message):
     with pytest.raises(ValueError, match=message):

@@ -107,7 +107,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Responses that are not the asked JSON, by document number modulo 20.
+# Responses that are not as asked, by document number modulo 20.
 BROKEN = {
     1: '{"translations":["x"]} trailing',
     2: '{"translations":["x"]}{"translations":["y"]}',
@@ -116,6 +116,10 @@ BROKEN = {
     5: '{"translations":[{"k":1}]}',
     6: '{"translations":[null]}',
     7: '{"translations":"x"}',
+    # Characters beyond 16 bits, as they are and escaped, and repeated keys, of which the last counts.
+    11: '{"translations":["\U0001F600 \\ud83d\\ude00"]}',
+    12: '{"translations":["x"],"translations":["y"]}',
+    13: '{"translations":["x"],"translations":[1]}',
 }
 
 
