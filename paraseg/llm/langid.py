@@ -2,12 +2,13 @@
 
 Text is lower-cased; each run of characters that are no letters is one blank. Four-character counts of every language
 are taken over all training texts in one pass; continuation counts, discounts and interpolation weights of the lower
-orders follow from that table in Spark. The model is, per language and order, a sorted array of hashes with discounted
-probabilities, and one of context hashes with interpolation weights. Hashes have ``HASH_BITS`` bits, so an array has at
-most 2**HASH_BITS entries whatever the corpus: what is broadcast is at most about 80 MB a language.
+orders follow from that table in Spark, order by order. The model is, per language and order, a sorted array of 64-bit
+hashes with discounted probabilities, and one of context hashes with interpolation weights. The hash is a bijection of the
+packed characters, so no two grams collide, however many there are. An entry has 12 bytes; the arrays, packed by tasks
+and fetched one at a time, hold the distinct grams of the training texts, whose number grows far slower than the texts.
 
 The language with the lowest cross-entropy per character wins. Its score is a softmax whose temperature is chosen on
-the training rows; a text is rejected when its cross-entropy
+the training rows, over ``EVIDENCE`` characters at most: longer texts are no surer. A text is rejected when its cross-entropy
 is far beyond that of training texts of the language and of like length: ``REJECT_DEVIATIONS`` standard deviations above
 their median and ``REJECT_FACTOR`` times it. Where few such texts have the length, the nearest length with enough counts,
 with wider bounds for shorter texts; a language without any rejects beyond a uniform choice of letters.
@@ -16,17 +17,18 @@ with wider bounds for shorter texts; a language without any rejects beyond a uni
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paraseg.llm.common import arrow_limits, text_slices, written
+from paraseg.llm.common import arrow_limits, mix, text_slices, written
 
 ORDER = 4
-HASH_BITS = 20
+EVIDENCE = 400
 TEMPERATURES = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 REJECT_DEVIATIONS = 8.0
 REJECT_FACTOR = 1.5
@@ -107,99 +109,102 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(keys[part].view(np.int64)), pa.array(counts[part].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def kneser_ney(grams: DataFrame) -> DataFrame:
-    """``(lang, k, context, gram, value)`` from counts ``(lang, gram, n)`` of four-character grams.
+def orders(grams: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """``(k, rows)`` from the highest order down; rows are ``lang, weight, gram, value``, of counts ``(lang, gram, n)``.
 
-    Rows with a gram hold its discounted probability at order k, rows with a context the weight of order k - 1 after it.
-    Below the highest order, counts are numbers of distinct characters before the gram.
+    Rows without ``weight`` hold a gram's discounted probability at order k, rows with it the weight of order k - 1 after
+    the context ``gram``. Below the highest order, counts are numbers of distinct characters before the gram. A context
+    has as many rows at most as there are characters.
     """
-    counts, out = grams, None
+    counts = grams
     for k in range(ORDER, 0, -1):
         if k < ORDER:
             tail = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
-            counts = counts.groupBy("lang", tail.alias("gram")).agg(F.count("*").alias("n"))
+            counts = written(counts.groupBy("lang", tail.alias("gram")).agg(F.count("*").alias("n")))
         ones = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        ones = ones.select("lang", F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5)))).alias("d"))
-        before = counts.withColumn("context", F.shiftrightunsigned("gram", 16))
-        totals = before.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(ones, "lang")
-        value = (F.col("n") - F.col("d")) / F.col("total")
-        seen = before.join(totals, ["lang", "context"]).select("lang", F.lit(k).alias("k"), F.lit(False).alias("weight"), "gram", F.greatest(value, F.lit(0.0)).alias("value"))
-        weights = totals.select("lang", F.lit(k).alias("k"), F.lit(True).alias("weight"), F.col("context").alias("gram"), (F.col("d") * F.col("types") / F.col("total")).alias("value"))
-        both = seen.union(weights)
-        out = both if out is None else out.union(both)
-    return out
-
-
-def _hash(keys: np.ndarray) -> np.ndarray:
-    """``xxhash64`` of longs (seed 42), as Spark has it, cut to HASH_BITS."""
-    # The primes of xxHash64.
-    p1, p2, p3, p4, p5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: (x << _U(r)) | (x >> _U(64 - r))
-    with np.errstate(over="ignore"):
-        h = (_U(42) + p5 + _U(8)) ^ (turn(keys * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h ^= h >> _U(33)
-        h *= p2
-        h ^= h >> _U(29)
-        h *= p3
-        h ^= h >> _U(32)
-    return (h & _U((1 << HASH_BITS) - 1)).astype(np.uint32)
-
-
-class Model:
-    """Sorted hash arrays by language and order."""
-
-    def __init__(self, rows: pa.Table):
-        names = rows.column("lang").combine_chunks().dictionary_encode()
-        number, names = names.indices.to_numpy(), names.dictionary.to_pylist()
-        k, weight, h, value = (rows.column(c).to_numpy() for c in ("k", "weight", "h", "value"))
-        self.langs = sorted(names)
-        self.letters = 1 << 12
-        self.tables = []
-        for name in self.langs:
-            orders = []
-            for order in range(1, ORDER + 1):
-                pair = []
-                for kind in (False, True):
-                    on = np.flatnonzero((number == names.index(name)) & (k == order) & (weight == kind))
-                    on = on[np.argsort(h[on])]
-                    pair.append((h[on].astype(np.uint32), value[on].astype(np.float32)))
-                orders.append(pair)
-            self.tables.append(orders)
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.full(len(h), missing)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at].astype(np.float64), missing)
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Natural logarithms, a row for each gram and a column for each language."""
-        out = np.empty((len(keys), len(self.langs)))
-        tails = [keys & _U((1 << 16 * k) - 1) if k < 4 else keys for k in range(ORDER + 1)]
-        grams, contexts = [_hash(x) for x in tails], [_hash(x >> _U(16)) for x in tails]
-        for i, orders in enumerate(self.tables):
-            p = np.full(len(keys), 1.0 / self.letters)
-            for k in range(1, ORDER + 1):
-                seen, weights = orders[k - 1]
-                p = self._find(seen, grams[k], 0.0) + self._find(weights, contexts[k], 1.0) * p
-            out[:, i] = np.log(p)
-        return out
-
-
-def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> Model | None:
-    """A model of all rows that have a language and a text, or None if there are none."""
+        share = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+        # One row for each language.
+        ones = F.broadcast(ones.select("lang", F.greatest(F.lit(0.1), F.least(F.lit(0.9), share)).alias("d")))
+        context = F.shiftrightunsigned("gram", 16)
+        after = Window.partitionBy("lang", "context")
+        rows = counts.withColumn("context", context).select(
+            "*", F.sum("n").over(after).alias("total"), F.count("*").over(after).alias("types"), F.min("gram").over(after).alias("first")
+        ).join(ones, "lang")
+        seen = F.struct(F.lit(False).alias("weight"), F.col("gram"), F.greatest((F.col("n") - F.col("d")) / F.col("total"), F.lit(0.0)).alias("value"))
+        weight = F.struct(F.lit(True).alias("weight"), F.col("context").alias("gram"), (F.col("d") * F.col("types") / F.col("total")).alias("value"))
+        both = F.when(F.col("gram") == F.col("first"), F.array(seen, weight)).otherwise(F.array(seen))
+        yield k, rows.select("lang", F.inline(both))
+
+
+def kneser_ney(grams: DataFrame) -> DataFrame:
+    """The rows of all ``orders``, with their ``k``."""
+    return reduce(DataFrame.union, (rows.select("lang", F.lit(k).alias("k"), "weight", "gram", "value") for k, rows in orders(grams)))
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """The entries of one language and order as two blobs, sorted by hash: as long as the array that every task reads."""
+    h = mix(rows.column("gram").to_numpy().view(np.uint64))
+    order = np.argsort(h)
+    values = rows.column("value").to_numpy()[order].astype("<f4")
+    return pa.table({
+        "lang": rows.column("lang").slice(0, 1), "weight": rows.column("weight").slice(0, 1),
+        "hashes": pa.array([h[order].astype("<u8").tobytes()], pa.binary()), "numbers": pa.array([values.tobytes()], pa.binary()),
+    })
+
+
+#: Of a model: by language, by order from 1 on, hashes and values of grams, and of contexts.
+Tables = list[list[list[tuple[np.ndarray, np.ndarray]]]]
+LETTERS = 1 << 12
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: float) -> np.ndarray:
+    """Values of ascending hashes."""
+    keys, values = table
+    if not len(keys):
+        return np.full(len(h), missing)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at].astype(np.float64), missing)
+
+
+def log_probabilities(tables: Tables, keys: np.ndarray) -> np.ndarray:
+    """Natural logarithms, a row for each gram and a column for each language. A gram's tails are looked up once."""
+    tails, back = [keys], []
+    for k in range(ORDER - 1, 0, -1):
+        short, inverse = np.unique(tails[-1] & _U((1 << 16 * k) - 1), return_inverse=True)
+        tails.append(short)
+        back.append(inverse)
+    out = np.full((1, len(tables)), 1.0 / LETTERS)
+    back.append(np.zeros(len(tails[-1]), np.int64))
+    for k in range(1, ORDER + 1):
+        grams = tails[ORDER - k]
+        contexts, of = np.unique(grams >> _U(16), return_inverse=True)
+        lower = out[back[ORDER - k]]
+        out = np.empty((len(grams), len(tables)))
+        h, hc = mix(grams), mix(contexts)
+        order, order_c = np.argsort(h), np.argsort(hc)
+        h, hc = h[order], hc[order_c]
+        weights = np.empty(len(contexts))
+        for i, own in enumerate(tables):
+            seen, after = own[k - 1]
+            out[order, i] = _found(seen, h, 0.0)
+            weights[order_c] = _found(after, hc, 1.0)
+            out[:, i] += weights[of] * lower[:, i]
+    return np.log(out)
+
+
+def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], Tables]:
+    """Languages, in order, and their tables, of all rows that have a language and a text."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     grams = written(rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    place = F.xxhash64("gram").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int")
-    table = kneser_ney(grams).groupBy("lang", F.col("k").cast("byte").alias("k"), "weight", place.alias("h")).agg(F.max("value").cast("float").alias("value")).toArrow()
-    model = Model(table) if table.num_rows else None
-    del table
-    pa.default_memory_pool().release_unused()
-    return model
+    model: dict[str, list] = {}
+    for k, entries in orders(grams):
+        packed = written(entries.groupBy("lang", "weight").applyInArrow(_packed, "lang string, weight boolean, hashes binary, numbers binary"))
+        for row in packed.toLocalIterator():
+            own = model.setdefault(row["lang"], [[None, None] for _ in range(ORDER)])
+            own[k - 1][row["weight"]] = (np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["numbers"], "<f4"))
+    langs = sorted(model)
+    return langs, [[tuple(pair) for pair in model[name]] for name in langs]
 
 
 def _score(model) -> Callable:
@@ -207,13 +212,14 @@ def _score(model) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, own = _letters(), model.value
+        n_langs = len(own)
         slots, index = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
         for batch in batches:
             sizes, sums, letters = [], [], []
             for _, keys, kept in _grams(batch.column("text"), table):
                 sizes.append(kept)
                 if not len(keys):
-                    sums.append(np.zeros((len(kept), len(own.langs))))
+                    sums.append(np.zeros((len(kept), n_langs)))
                     letters.append(np.zeros(len(kept), np.int64))
                     continue
                 # Each distinct gram is looked up once a slice; a slot keeps one gram, the others follow.
@@ -227,11 +233,11 @@ def _score(model) -> Callable:
                 other = np.flatnonzero(slots[slot] != keys)
                 more, back = np.unique(keys[other], return_inverse=True)
                 at[other] = len(used) + back
-                logs = own.log_probabilities(np.r_[slots[used], more])
+                logs = log_probabilities(own, np.r_[slots[used], more])
                 starts = np.cumsum(kept) - kept
                 some = kept > 0
-                total = np.zeros((len(kept), len(own.langs)))
-                for i in range(len(own.langs)):
+                total = np.zeros((len(kept), n_langs))
+                for i in range(n_langs):
                     total[some, i] = np.add.reduceat(logs[:, i][at], starts[some])
                 sums.append(total)
                 count = np.zeros(len(kept), np.int64)
@@ -279,8 +285,8 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
         F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"),
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
     )
-    model = train(rows.filter("training"))
-    if model is None:
+    langs, model = train(rows.filter("training"))
+    if not langs:
         return rows.select("doc_id", "training", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"))
     schema = T.StructType([*rows.schema.fields[:3], *(T.StructField(n, T.LongType()) for n in ("grams", "letters")), T.StructField("cross", T.ArrayType(T.DoubleType()))])
     best = F.array_min("cross")
@@ -288,16 +294,15 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
     scored = written(
         rows.mapInArrow(_score(shared), schema)
         .withColumn("best", best)
-        .withColumn("lang_pred", F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("cross", best).cast("int")))
+        .withColumn("lang_pred", F.element_at(F.array(*map(F.lit, langs)), F.array_position("cross", best).cast("int")))
         .withColumn("length", F.floor(F.log2(F.col("grams") + 1)).cast("int"))
     )
     # The scores are written: nothing reads the tables again.
     shared.destroy()
-    langs, letters = model.langs, model.letters
     del model
 
     def softmax(heat: Column, away: Column) -> Column:
-        size = F.least("grams", F.lit(400))
+        size = F.least("grams", F.lit(EVIDENCE))
         return F.exp(-heat * size * away) / F.aggregate("cross", F.lit(0.0), lambda s, x: s + F.exp(-heat * size * (x - F.col("best"))))
 
     known = scored.filter("training and lang is not null and letters > 0")
@@ -310,7 +315,7 @@ def identify(docs: DataFrame, training: Column, *, id_col: str = "doc_id", lang_
     # At most one row for each language, with one entry for each power of two.
     scored = scored.join(F.broadcast(usual), "lang_pred", "left")
     limit = reject_limit()
-    far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(letters))))
+    far = F.col("best") > F.coalesce(limit, F.lit(float(np.log(LETTERS))))
     blank = F.col("letters") == 0
     return scored.select(
         "doc_id", "training",

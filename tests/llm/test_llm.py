@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +161,47 @@ def test_langid_probabilities_sum_to_one(spark):
         assert np.allclose(sums + weights[sums.index], 1)
 
 
+def plain_kneser_ney(text, probes):
+    """Natural log probabilities of four-character grams after plain interpolated Kneser-Ney on one text."""
+    padded = "   " + text
+    counts, orders = Counter(padded[i : i + 4] for i in range(len(padded) - 3)), {}
+    for k in (4, 3, 2, 1):
+        if k < 4:
+            counts = Counter(g[1:] for g in counts)
+        n1, n2 = (sum(n == x for n in counts.values()) for x in (1, 2))
+        d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+        total, types = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            types[g[:-1]] += 1
+        orders[k] = counts, d, total, types
+
+    def p(gram):
+        if not gram:
+            return 1 / 4096
+        counts, d, total, types = orders[len(gram)]
+        context = gram[:-1]
+        if not total[context]:
+            return p(gram[1:])
+        return max(counts[gram] - d, 0) / total[context] + d * types[context] / total[context] * p(gram[1:])
+
+    return [math.log(p(g)) for g in probes]
+
+
+def test_langid_equals_plain_kneser_ney_beyond_a_million_grams(spark):
+    rng = random.Random(11)
+    text = "".join(chr(0x4E00 + int(rng.random() ** 2 * 6000)) for _ in range(1_150_000))
+    assert len({text[i : i + 4] for i in range(len(text) - 3)}) > 1_000_000
+    parts = spark.createDataFrame([("zh", text), ("en", "the cat and the hat")], "lang string, text string")
+    langs, tables = langid.train(parts)
+    assert langs == ["en", "zh"] and len(tables[1][3][0][0]) > 1_000_000
+    probes = [text[i : i + 4] for i in rng.sample(range(len(text) - 3), 2000)]
+    probes += ["".join(rng.choice(text) for _ in range(4)) for _ in range(2000)] + ["the ", " cat", "zzzz"]
+    keys = np.array([sum((0 if c == " " else ord(c)) << 16 * (3 - i) for i, c in enumerate(g)) for g in probes], np.uint64)
+    found = langid.log_probabilities(tables, keys)
+    assert np.allclose(found[:, 1], plain_kneser_ney(text, probes), atol=1e-5)
+
+
 def test_langid_edges(edges, empty):
     rows = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edges, F.lit(True)).collect()}
     assert {(2, "und"), (3, "und"), (4, "und")} <= rows and len(rows) == 6
