@@ -29,7 +29,6 @@ BLOCKS = 4
 RADIUS = 15
 BLOCK_BITS = 64 // BLOCKS
 FLIPS = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-NO_ID = -(1 << 63)
 
 
 def least_shared(shingles: int, threshold: float) -> int:
@@ -105,7 +104,7 @@ def _regions(member, words: list[int], threshold: float) -> Callable:
             if rows:
                 ids, at, parts = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "at", "shingles"]
+                    [pa.array(ids, batch.column(0).type), pa.array(at, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "at", "shingles"]
                 )
 
     return run
@@ -146,7 +145,7 @@ def contaminated(
     """``(doc_id, item_id, word_start, words, similarity)``: the best window of each document for each item it holds.
 
     Ties go to the first window. Items and texts that are null or under five words hold no shingle and match nothing.
-    Repeated rows give one result row; null ids are kept; extra columns are ignored. Without items or documents the
+    Repeated rows give one result row; ids are of any type, null ids are kept; extra columns are ignored. Without items or documents the
     result is empty.
     """
     spark = docs.sparkSession
@@ -160,13 +159,15 @@ def contaminated(
     # As many numbers at most as the longest item has words.
     words = sorted(r[0] for r in items.select("words").distinct().collect())
     if not words:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id")).limit(0).selectExpr("doc_id", "doc_id item_id", "0 word_start", "0 words", "0d similarity")
+        return docs.select(F.col(id_col).alias("doc_id")).limit(0).selectExpr("doc_id", "doc_id item_id", "0 word_start", "0 words", "0d similarity")
     member = spark.sparkContext.broadcast(bitmap_of(items.select(F.explode("item_shingles").alias("s")), "s", 24))
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = found.schema["doc_id"].dataType.simpleString()
     regions = written(
-        found.mapInArrow(_regions(member, words, threshold), "doc_id long, at int, shingles array<long>")
-        .withColumn("region", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "at", F.xxhash64("shingles").alias("h")))
+        found.mapInArrow(_regions(member, words, threshold), f"doc_id {kind}, at int, shingles array<long>")
+        # A hash of the id, which may be null, with place and contents.
+        .withColumn("region", F.struct(F.xxhash64("doc_id").alias("d"), "at", F.xxhash64("shingles").alias("h")))
         .dropDuplicates(["region"])
     )
     windows = regions.select("region", "shingles").mapInArrow(_marks(member, words, threshold), f"region {regions.schema['region'].dataType.simpleString()}, start int, words int, mark long")
@@ -193,6 +194,6 @@ def contaminated(
             F.slice("shingles", F.col("start") + 1, F.col("words") - SHINGLE + 1).alias("window"), "item_shingles",
         )
     )
-    exact = pairs.mapInArrow(_weighted, "doc_id long, item_id long, word_start int, words int, similarity double")
+    exact = pairs.mapInArrow(_weighted, f"doc_id {kind}, item_id long, word_start int, words int, similarity double")
     best = F.max_by(F.struct("word_start", "words", "similarity"), F.struct("similarity", -F.col("word_start")))
     return exact.filter(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paraseg.llm.common import arrow_limits, bitmap_of, components, hash_words, in_bitmap, shingle_hashes, text_slices, written
 
@@ -49,17 +50,17 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def _rows(names: list[str], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
 def _members(words: int) -> Callable:
     """Id, set size and set name of every row, and the task's part of the shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << COUNT_BITS, np.uint32), []
+        counts, seen, kind = np.zeros(1 << COUNT_BITS, np.uint32), [], None
         names = ["doc_id", "n", "sid", "part", "counts"]
         for batch in batches:
-            ids, n, sids = batch.column(0).to_pylist(), [0] * len(batch), [None] * len(batch)
+            ids, n, sids = batch.column(0), [0] * len(batch), [None] * len(batch)
             for i, part in _sets(batch.column(1), words):
                 n[i] = len(part)
                 if n[i]:
@@ -69,13 +70,14 @@ def _members(words: int) -> Callable:
                 counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
                 seen = []
             none = pa.nulls(len(ids))
-            yield _rows(names, [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())])
+            kind = ids.type
+            yield _rows(names, [ids, pa.array(n, pa.int64()), pa.array(sids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())])
         if seen:
             counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
         for i, part in enumerate(counts.reshape(-1, _PART)):
             if part.any():
                 blob = zlib.compress(part.astype("<u4").tobytes(), 1)
-                yield _rows(names, [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())])
+                yield _rows(names, [pa.nulls(1, kind), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([i], pa.int32()), pa.array([blob], pa.binary())])
 
     return run
 
@@ -244,13 +246,14 @@ def jaccard_components(
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their sets of ``words``-word shingles;
     a text with fewer words is one shingle. Texts that are null, empty or blank have no shingles and are linked with
-    nothing. Repeated rows stay; rows with a null id keep a null id and belong to the component of their text. Extra
-    columns are ignored. An empty table gives an empty one.
+    nothing. Ids are of any type that has an order. Repeated rows stay; rows with a null id keep a null id and belong to
+    the component of their text. Extra columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = written(texts.mapInArrow(_members(words), "doc_id long, n long, sid long, part int, counts binary"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kinds = texts.selectExpr("doc_id", "0L n", "0L sid", "0 part", "cast('' as binary) counts").schema
+    found = written(texts.mapInArrow(_members(words), T.StructType([T.StructField(f.name, f.dataType) for f in kinds])))
     members = found.filter("part is null").select("doc_id", "n", "sid")
 
     # Counts of shingles over the whole corpus, in a table of 2**COUNT_BITS places (8 MB).
