@@ -8,36 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraseg.operators import compare
-from paraseg.operators.metrics import nest_scores
 from paraseg.session import written
 from paraseg.sources import records as files
+from paraseg.sources import reports
 
 
 class Merged(NamedTuple):
     scores: DataFrame
     """Scores per run and mode; ``merged`` tells those that had a later record."""
-    report: DataFrame
+    report: reports.Report
+    """The report as it is now, read back."""
     comparison: DataFrame
-    segments: DataFrame
-    """Model score of each segment."""
 
 
 def merge_files(spark: SparkSession, experiment: str, out: str) -> Merged:
-    """Merge ``<run>/score.candidate.<mode>.json`` into ``<run>/report.json`` of every run below ``experiment``.
+    """Merge ``<run>/score.candidate.<mode>.json`` of every run below ``experiment`` into the report ``out``.
 
-    Writes to ``out``, another folder: ``report``, and beside it ``scores``, records
-    whose segment scores are in arrays of bounded length.
+    The first time, the report is made from the files ``<run>/report.json``. Each merge is a new state of it, which counts
+    only when it is whole (``sources.reports``); a merge that is run again leaves the same report.
     """
-    report = written(files.read_report_files(spark, f"{experiment}/*/report.json"))
+    now = reports.read_report(spark, out)
+    if now is None:
+        published = written(files.read_report_files(spark, f"{experiment}/*/report.json"))
+        scores = published.drop("comet_segments")
+        segments = files.record_segments(published.withColumns({"part_id": F.lit(0).cast("bigint"), "doc_id": F.lit("")}))
+    else:
+        scores, segments = now.scores, now.segments
     records = written(files.read_score_files(spark, f"{experiment}/*/score.candidate.*.json"))
-    scores = written(compare.merge_scores(report.drop("comet_segments"), records))
-    one_part = report.withColumns({"part_id": F.lit(0).cast("bigint"), "doc_id": F.lit("")})
-    segments = written(
-        compare.merge_segment_scores(
-            files.record_segments(one_part), records, files.record_segments(records)
-        )
-    )
-    again, comparison = compare.refresh(scores)
-    files.write_reports(again, f"{out}/report")
-    files.write_score_records(nest_scores(scores, segments), f"{out}/scores")
-    return Merged(scores, again, comparison, segments)
+    scores = written(compare.merge_scores(scores, records))
+    reports.write_report(scores, compare.merge_segment_scores(segments, records, files.record_segments(records)), out)
+    return Merged(scores, reports.read_report(spark, out), compare.refresh(scores)[1])

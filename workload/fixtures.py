@@ -176,6 +176,40 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_published(record: DataFrame, scores: DataFrame, path: str) -> None:
+    """Reports and later score records as single files of each run, as they are published.
+
+    A run's segment scores are one array there, by document and position. English has a later record of both modes with
+    lower scores, French one of context mode without a model score, German one without such keys, Spanish none.
+    """
+    spark = record.sparkSession
+    place = F.struct(F.col("doc_id").cast("bigint").alias("d"), "seg_id", F.round("score", 4).alias("score"))
+    arrays = scores.groupBy("run_id", "mode").agg(F.sort_array(F.collect_list(place))["score"].alias("comet_segments"))
+    rows = record.join(arrays, ["run_id", "mode"])
+    fields = ["bleu", "chrf", "bleu_signature", "comet", "comet_segments"]
+    of = lambda mode: F.max_by(F.struct(*fields), F.col("mode") == mode)
+    report = F.struct(F.lit(MODEL).alias("model"), F.max("n_segments").alias("segments"), of("sentence").alias("sentence_level"), of("context").alias("document_context"))
+    files = rows.groupBy("run_id").agg(F.to_json(report).alias("text")).select("run_id", F.lit("report.json").alias("file"), "text")
+    lower = F.struct("bleu", "chrf", (F.col("comet") - 0.1).alias("comet"), F.transform("comet_segments", lambda x: F.round(x - 0.1, 4)).alias("comet_segments"))
+    none = F.struct("bleu", F.lit(None).cast("double").alias("comet"), F.array().cast("array<double>").alias("comet_segments"))
+    text = (
+        F.when(F.col("run_id") == "en", F.to_json(lower))
+        .when((F.col("run_id") == "fr") & (F.col("mode") == "context"), F.to_json(none, {"ignoreNullFields": "false"}))
+        .when(F.col("run_id") == "de", F.to_json(F.struct("bleu", "chrf")))
+    )
+    later = rows.select("run_id", F.format_string("score.candidate.%s.json", "mode").alias("file"), text.alias("text")).filter("text is not null")
+    files.unionByName(later).repartition("run_id", "file").write.partitionBy("run_id", "file").text(f"{path}-parts")
+    # A part file of each run and name moves to its published place: a few names a run.
+    space = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in files.unionByName(later).select("run_id", "file").collect():
+        folder = space.Path(f"{path}/{row['run_id']}")
+        system = folder.getFileSystem(conf)
+        system.mkdirs(folder)
+        [part] = [f.getPath() for f in system.globStatus(space.Path(f"{path}-parts/run_id={row['run_id']}/file={row['file']}/part-*"))]
+        system.rename(part, space.Path(folder, row["file"]))
+
+
 def length_ratio(batch: pd.DataFrame) -> pd.Series:
     """Stand-in for a model score: shorter over longer text, 1 when equally long."""
     mt, ref = batch["mt"].str.len(), batch["ref"].str.len()

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paraseg import fixed
@@ -17,10 +17,11 @@ from paraseg.functions.text import tokens_13a
 from paraseg.operators import align, compare, corpus, metrics, requests, responses, usage
 from paraseg.plans.corpus import sample_corpus
 from paraseg.plans.experiment import run_experiment
+from paraseg.plans.merge import merge_files
 from paraseg.plans.scoring import score
 from paraseg.plans.translate import translate_segments
 from paraseg.session import shared_dir, written
-from paraseg.sources import naming, records
+from paraseg.sources import naming, records, reports
 from paraseg.sources.pairs import read_pairs
 from paraseg.sources.segments import (
     read_segment_table,
@@ -505,9 +506,43 @@ def _flat_report(report: DataFrame) -> DataFrame:
     return report.select("run_id", "model", "segments", *columns)
 
 
+def _with_segments(report: reports.Report) -> DataFrame:
+    """The flat report with the number of segment scores of each mode and a sum over all of them and their places."""
+    place = F.concat_ws("|", "doc_id", "seg_id", F.col("score").cast("decimal(10,4)").cast("string"))
+    digest = F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("bigint")
+    sums = []
+    for mode, key in (("sentence", "sentence_level"), ("context", "document_context")):
+        own = F.when(F.col("mode") == mode, F.col("digest"))
+        sums += [F.count(own).alias(f"{key}_scored"), F.sum(own).alias(f"{key}_digest")]
+    segments = report.segments.withColumn("digest", digest).groupBy("run_id").agg(*sums)
+    return _flat_report(report.summary).join(segments, "run_id", "left")
+
+
 @query
 def r3_report(spark, sf_dir):
-    return _flat_report(compare.experiment_report(_record(spark, sf_dir), fx.MODEL))
+    """The report with the scores of all segments, written and read back."""
+    path = scratch(spark)
+    stats = written(_stats(spark, sf_dir))
+    record = metrics.score_record(metrics.corpus_scores(stats)).withColumn("model", F.lit(fx.MODEL))
+    reports.write_report(record, stats.select(*SCORED, "score"), path)
+    return _with_segments(reports.read_report(spark, path))
+
+
+@query
+def s5_report_text(spark, sf_dir):
+    """The report of each run as one JSON text, put together from part files; read as the published file is."""
+    path = scratch(spark)
+    stats = written(_stats(spark, sf_dir))
+    record = metrics.score_record(metrics.corpus_scores(stats)).withColumn("model", F.lit(fx.MODEL))
+    # A document a run, so that positions are places in the array; every seventh segment has no score.
+    order = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.col("doc_id").cast("bigint"), "seg_id")) - 1
+    scores = stats.select(*RUN, F.lit("").alias("doc_id"), order.cast("bigint").alias("seg_id"), "score").filter("seg_id % 7 <> 3")
+    reports.write_report(record, scores, path)
+    reports.write_report_text(reports.read_report(spark, path), f"{path}/text")
+    read = records.read_report_files(spark, f"{path}/text/*", joined=True)
+    one_part = read.withColumns({"part_id": F.lit(0).cast("bigint"), "doc_id": F.lit("")})
+    rows = records.record_segments(one_part).join(read.select(*RUN, "model", "n_segments", "bleu", "chrf"), RUN)
+    return rows.select(*RUN, "model", "n_segments", "bleu", "chrf", "seg_id", "score")
 
 
 def _late_records(record: DataFrame) -> DataFrame:
@@ -545,6 +580,17 @@ def r5_refresh(spark, sf_dir):
     return compare.refresh(merged)[1]
 
 
+@query
+def r5_merge_files(spark, sf_dir):
+    """Published files of each run, later records of English and French: merged into the report, twice."""
+    path = scratch(spark)
+    scores = written(metrics.score_segments(fx.aligned(spark, sf_dir), fx.length_ratio))
+    fx.write_published(written(_record(spark, sf_dir)), scores, path)
+    merge_files(spark, path, f"{path}-report")
+    merged = merge_files(spark, path, f"{path}-report")
+    return _with_segments(merged.report).withColumn("commit", F.lit(merged.report.commit))
+
+
 @query
 def r5_refreshed_report(spark, sf_dir):
     """Every run has scores of whole mode, too."""
