@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paraseg.fixed import SEGMENT
 from paraseg.functions import scores
@@ -25,35 +27,72 @@ SCORES_PER_PART = 100_000
 BatchScorer = Callable[[pd.DataFrame], pd.Series]
 
 
-def model_score(scorer: BatchScorer) -> Column:
+def _checked(scorer: BatchScorer, by_length: bool) -> Callable[[pd.DataFrame], pd.Series]:
+    """The scorer, on rows in order of length if wanted: rows of a model's batch are then of like size."""
+
+    def score(rows: pd.DataFrame) -> pd.Series:
+        rows = rows.reset_index(drop=True)
+        if by_length:
+            order = (rows["mt"].str.len().fillna(0) + rows["src"].str.len().fillna(0)).sort_values(kind="stable").index
+            rows = rows.loc[order]
+        values = scorer(rows.reset_index(drop=True))
+        if len(values) != len(rows):
+            raise ValueError(f"Scorer returned {len(values)} scores for {len(rows)} segments.")
+        return pd.Series(list(values), index=rows.index).astype(float).sort_index()
+
+    return score
+
+
+def model_score(scorer: BatchScorer, by_length: bool = False) -> Column:
     """A model's score of ``src, cand, ref``; ``scorer`` sees batches of ``src, mt, ref``."""
+    checked = _checked(scorer, by_length)
 
     def score(
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.Series]:
         for src, mt, ref in batches:
-            values = scorer(pd.DataFrame({"src": src, "mt": mt, "ref": ref}))
-            if len(values) != len(mt):
-                raise ValueError(f"Scorer returned {len(values)} scores for {len(mt)} segments.")
-            yield pd.Series(values).astype(float)
+            yield checked(pd.DataFrame({"src": src, "mt": mt, "ref": ref}))
 
     return F.pandas_udf(score, "double")("src", "cand", "ref")
 
 
+def gpu_profile(gpus: int) -> ResourceProfile:
+    """Tasks and executors of a stage with ``gpus`` GPUs each."""
+    executors = ExecutorResourceRequests().resource("gpu", gpus)
+    tasks = TaskResourceRequests().cpus(1).resource("gpu", gpus)
+    return ResourceProfileBuilder().require(executors).require(tasks).build
+
+
+def scored_on_gpus(aligned: DataFrame, scorer: BatchScorer, gpus: int, by_length: bool = True) -> DataFrame:
+    """``aligned`` with ``score``, in a stage whose tasks have ``gpus`` GPUs each (needs a cluster that schedules them)."""
+    checked = _checked(scorer, by_length)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows.reset_index(drop=True)
+            yield rows.assign(score=checked(rows.rename(columns={"cand": "mt"})[["src", "mt", "ref"]]))
+
+    schema = T.StructType([*aligned.schema.fields, T.StructField("score", T.DoubleType())])
+    return aligned.mapInPandas(score, schema, profile=gpu_profile(gpus))
+
+
 def segment_stats(
-    aligned: DataFrame, words: bool = True, chars: bool = True, scorer: BatchScorer | None = None
+    aligned: DataFrame, words: bool = True, chars: bool = True, scorer: BatchScorer | None = None, gpus: int = 0
 ) -> DataFrame:
     """Per segment: clipped n-gram counts (``words``, ``chars``) and model ``score``.
 
-    All of it is computed where the aligned row is; nothing is shuffled.
+    All of it is computed where the aligned row is; nothing is shuffled. With ``gpus`` the model's stage asks for so
+    many GPUs a task, and the model sees rows in order of length.
     """
+    if scorer is not None and gpus:
+        aligned = scored_on_gpus(aligned, scorer, gpus)
     columns = []
     if words:
         columns.append(word_stats(F.col("cand"), F.col("ref")).alias("words"))
     if chars:
         columns.append(char_stats(F.col("cand"), F.col("ref")).alias("chars"))
     if scorer is not None:
-        columns.append(model_score(scorer).alias("score"))
+        columns.append(F.col("score") if gpus else model_score(scorer).alias("score"))
     return aligned.select(*SCORED, *columns)
 
 
@@ -102,8 +141,8 @@ def corpus_scores(stats: DataFrame, keys: list[str] = RUN) -> DataFrame:
     return corpus_stats(stats, keys).select(*keys, "n_segments", *columns)
 
 
-def score_segments(aligned: DataFrame, scorer: BatchScorer) -> DataFrame:
-    return segment_stats(aligned, words=False, chars=False, scorer=scorer)
+def score_segments(aligned: DataFrame, scorer: BatchScorer, gpus: int = 0) -> DataFrame:
+    return segment_stats(aligned, words=False, chars=False, scorer=scorer, gpus=gpus)
 
 
 def system_scores(segment_scores: DataFrame, keys: list[str] = RUN) -> DataFrame:

@@ -57,16 +57,17 @@ def _magnitude(key: str) -> Column:
 
 
 def number_by_range(df: DataFrame, key: str, limit: int | None) -> DataFrame:
-    """Add ``seg_id``: the position in order of the whole number ``key``.
+    """Add ``seg_id``: the position in order of the whole number ``key``, which is unique.
 
-    Numbers may cluster, so the rows that remain are range-partitioned by what
-    Spark samples of them, sorted, and written once: the partition numbers are
-    settled before they are counted.
+    Only the keys are put in order: numbers may cluster, so those that remain are range-partitioned by what Spark samples
+    of them, sorted, and written once, which settles the partition numbers before they are counted. The other columns are
+    fetched for the rows that are kept, without a shuffle if these are few.
     """
+    keys = df.select(key)
     if limit is not None:
-        df = _with_starts(df.withColumn("_bucket", _magnitude(key)), limit).drop("_bucket", "_start")
+        keys = _with_starts(keys.withColumn("_bucket", _magnitude(key)), limit).select(key)
     ordered = written(
-        df.repartitionByRange(key)
+        keys.repartitionByRange(key)
         .sortWithinPartitions(key)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_line", F.monotonically_increasing_id())
@@ -80,9 +81,7 @@ def number_by_range(df: DataFrame, key: str, limit: int | None) -> DataFrame:
             (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"),
         )
     )
-    numbered = (
-        ordered.join(broadcast_if_small(starts), "_part")
-        .withColumn("seg_id", F.col("_line") + F.col("_shift"))
-        .drop("_part", "_line", "_shift")
-    )
-    return numbered if limit is None else numbered.filter(F.col("seg_id") < limit)
+    places = ordered.join(broadcast_if_small(starts), "_part").select(key, (F.col("_line") + F.col("_shift")).alias("seg_id"))
+    if limit is not None:
+        places = places.filter(F.col("seg_id") < limit)
+    return df.join(broadcast_if_small(places) if limit is not None else places, key)

@@ -144,3 +144,17 @@ def test_score_file_names(spark):
     assert [r[0] for r in frame.collect()] == [
         "out/score.candidate.fr.json", "score.candidate.json", "a.b/score.c.json", "x/score..hidden.json",
     ]
+
+
+def test_input_order_shuffles_keys_only(spark, tmp_path):
+    rows = [((37 * i) % 1009, f"source {i}", f"reference {i}") for i in range(1000)]
+    spark.createDataFrame(rows, "pair_id long, src string, ref string").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    sample = corpus.sample_pairs(pairs, 50, None)
+    assert [tuple(r) for r in sample.orderBy("seg_id").select("seg_id", "pair_id", "src", "ref").collect()] == [
+        (i, *row) for i, row in enumerate(sorted(rows)[:50])
+    ]
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    keys = corpus.sample_pairs(pairs, None, None).select("seg_id", "pair_id")._jdf.queryExecution().executedPlan().toString()
+    assert "src" not in keys and "ref#" not in keys

@@ -165,3 +165,30 @@ def test_model_scores_and_nested_record(spark, monkeypatch):
 def test_scorer_must_score_every_segment(spark):
     with pytest.raises(Exception, match="Scorer returned"):
         score_lists(spark, ENGLISH, POORER, FRENCH, lambda batch: [])
+
+
+def test_gpus_set_the_profile_of_the_scorer(spark):
+    aligned = spark.createDataFrame([("r", "d", 0, "m", "s", "c", "r")], "run_id string, doc_id string, seg_id long, mode string, src string, cand string, ref string")
+    profile = metrics.gpu_profile(2)
+    assert profile.taskResources["gpu"].amount == 2 and profile.executorResources["gpu"].amount == 2
+    plans = [metrics.score_segments(aligned, lambda b: b["mt"].str.len(), gpus=n)._jdf.queryExecution().optimizedPlan() for n in (0, 1)]
+    assert "MapInPandas" in plans[1].toString() and "MapInPandas" not in plans[0].toString()
+    node = plans[1]
+    while "MapInPandas" not in node.nodeName():
+        node = node.children().head()
+    asked = node.profile().get().taskResources()
+    assert asked.get("gpu").get().amount() == 1.0
+
+
+def test_rows_of_like_length_come_together(spark):
+    seen = []
+
+    def scorer(batch):
+        seen.append(batch["mt"].str.len().tolist())
+        return batch["mt"].str.len() / 10
+
+    import pandas as pd
+
+    rows = pd.DataFrame({"src": ["s"] * 4, "mt": ["aaaa", "b", None, "cc"], "ref": ["r"] * 4}, index=[5, 6, 7, 8])
+    assert metrics._checked(scorer, True)(rows).fillna(-1).tolist() == [0.4, 0.1, -1.0, 0.2]
+    assert [x for x in seen[0] if x == x] == [1, 2, 4]
