@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
 Base spans (email, ip, card, phone) follow from fixed patterns and checks. Wider patterns give candidates; four labelers
-(strict pattern, gazetteer, context before the span, shape) vote for or against each, or abstain. Expectation
+(strict pattern, gazetteer, context around the span, shape) vote for or against each, or abstain. Expectation
 maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind; its posteriors
 train a naive Bayes classifier over span features. Candidates it accepts are added where no base span lies.
 
@@ -24,34 +24,66 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDE_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)+"
 NUMBER = r"\+?+[0-9](?:[().\x20-]{0,3}[0-9])++"
-SECRET = r"(?i:token|secret|password|api[_-]?key)\x20{0,3}[=:]\x20{0,3}\"[^\"\n]{1,200}\""
+SECRET = r"(?i:token|secret|password|api[_-]?key)\x20{0,3}[=:]\x20{0,3}\"[^\"\n]++\""
 # Words and prefixes that speak for a kind, or against personal data.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info"]
+TOP_DOMAINS = [
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "ai", "app", "dev", "co", "me", "tv", "eu", "uk", "us", "ca", "mx", "br",
+    "ar", "cl", "au", "nz", "jp", "cn", "kr", "in", "sg", "hk", "tw", "de", "at", "ch", "fr", "be", "nl", "lu", "es", "pt", "it", "gr", "ie", "dk",
+    "se", "no", "fi", "pl", "cz", "sk", "hu", "ro", "bg", "hr", "si", "rs", "ua", "ru", "tr", "il", "ae", "sa", "za", "ng", "ke", "eg",
+]
 COUNTRY_CODES = r"^\+(1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CARD_ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|30)"
 RESERVED_IP = r"^(0|10|127|169\.254|192\.168|255)\."
 HINTS = {"email": "mail|contact|write|@", "ip": "ip|server|host|address|from", "card": "card|visa|pay|credit", "phone": "tel|phone|call|mobile|fax", "secret": "auth|login|config"}
-AGAINST = r"(version|isbn|page|order|invoice|serial|id|no\.|nr\.)\W*$"
+AGAINST = r"(version|isbn|issn|doi|page|order|invoice|serial|build|figure|table|chapter|section|id|no\.|nr\.)\W*$"
+UNITS = r"^\s?(%|px|km|kg|cm|mm|ms|gb|mb|kb|usd|eur|percent|pages|items|€|\$)(\W|$)"
 CONTEXT_CHARS = 24
 THRESHOLD = 0.9
 SMOOTHING = 0.1
+ROUNDS = 50
 FEATURES = ["kind", "pattern", "gazetteer", "context", "shape", "length", "digits", "spaced"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also if ``body`` reads it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Steps of running sums and of binary search: for arrays of up to 2**31 items.
+POWERS = [1 << k for k in range(31)]
+
+
+def running(values: Column, combine) -> Column:
+    """Running totals of an array: in each round, every item takes in the one a power of two before it.
+
+    A round makes one array, so an array of n items takes n log n steps; appending to an array n times copies it n times.
+    """
+    rounds = F.filter(F.array(*map(F.lit, POWERS)), lambda step: step < F.size(values))
+    return F.aggregate(rounds, values, lambda all_, step: F.transform(all_, lambda x, i: F.when(i >= step, combine(x, F.get(all_, i - step))).otherwise(x)))
+
+
+def below(ascending: Column, value: Column) -> Column:
+    """How many items of an ascending array are less than ``value``, by binary search."""
+    steps = F.filter(F.array(*map(F.lit, reversed(POWERS))), lambda step: step <= F.size(ascending))
+    move = lambda at, step: F.when((at + step <= F.size(ascending)) & (F.get(ascending, at + step - 1) < value), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), move)
+
+
+def _wide(text: Column) -> Column:
+    """A text with four bytes a character, so that a place in it is found without reading what is before."""
+    return F.encode(text, "UTF-32")
+
+
+def _cut(wide: Column, start: Column, end: Column) -> Column:
+    return F.decode(F.substring(wide, start * 4 + 1, F.greatest(end - start, F.lit(0)) * 4), "UTF-32")
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Leftmost matches that don't overlap: start, end (code points, end exclusive) and value."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(gaps, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    none = F.lit(None).cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("spans"))
-
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
-        end = start + F.length(step["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), step["value"].alias("value"))
-        return F.when(step["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans")))
-
-    return F.aggregate(steps, zero, add, lambda state: state["spans"])
+    ends = lambda values: running(F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda gap, value: F.length(gap) + F.length(value)), lambda a, b: a + b)
+    span = lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
+    return _let(found, lambda values: F.zip_with(values, ends(values), span))
 
 
 def _digits(value: Column) -> Column:
@@ -111,15 +143,21 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _kind("secret", _located(text, SECRET), None, secret),
     )
     docs = docs.withColumns({"base": base, "candidates": wider})
-    before = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-    return docs.withColumn("candidates", F.transform("candidates", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *_votes(s["kind"], s["value"], before(s)))))
+
+    def judged(wide: Column) -> Column:
+        before = lambda s: F.lower(_cut(wide, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]))
+        after = lambda s: F.lower(_cut(wide, s["end"], s["end"] + CONTEXT_CHARS))
+        vote = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *_votes(s["kind"], s["value"], before(s), after(s)))
+        return F.transform("candidates", vote)
+
+    return docs.withColumn("candidates", _let(_wide(F.when(F.size("candidates") > 0, text).otherwise("")), judged))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(F.coalesce(yes, F.lit(False)), 1).when(F.coalesce(no, F.lit(False)), -1).otherwise(0)
 
 
-def _votes(kind: Column, value: Column, before: Column) -> list[Column]:
+def _votes(kind: Column, value: Column, before: Column, after: Column) -> list[Column]:
     """The labelers' votes and the features of a span."""
     like = lambda text, pattern: F.regexp_like(text, F.lit(pattern))
     pick = lambda of: F.coalesce(*(F.when(kind == k, x) for k, x in of.items()), F.lit(0))
@@ -139,7 +177,7 @@ def _votes(kind: Column, value: Column, before: Column) -> list[Column]:
         "phone": _vote(like(value, COUNTRY_CODES), ~like(value, COUNTRY_CODES)),
     })
     hinted = F.coalesce(*(F.when(kind == k, like(before, f"({words})")) for k, words in HINTS.items()), F.lit(False))
-    context = _vote(hinted, like(before, AGAINST))
+    context = _vote(hinted, like(before, AGAINST) | like(after, UNITS))
     shape = pick({
         "email": _vote(F.length(value).between(6, 80), F.length(value) > 80),
         "ip": _vote(like(value, r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), ~like(value, r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")),
@@ -157,8 +195,11 @@ def _votes(kind: Column, value: Column, before: Column) -> list[Column]:
 VOTES = ["pattern", "gazetteer", "context", "shape"]
 
 
-def fit(found: DataFrame) -> dict[str, float]:
-    """Weights of the span classifier, by ``kind:feature:value`` and ``kind`` alone, from all candidates of ``found``."""
+def fit(found: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
+    """Weights of the span classifier, by ``kind:feature:value`` and ``kind`` alone, from all candidates of ``found``.
+
+    ``rounds`` of expectation maximisation at most; with none, the first guess from the strict pattern trains the classifier.
+    """
     rows = found.select(F.explode("candidates").alias("c")).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).count().collect()
     rows = sorted((tuple(r[n] for n in FEATURES), r["count"]) for r in rows)
     weights: dict[str, float] = {}
@@ -166,7 +207,7 @@ def fit(found: DataFrame) -> dict[str, float]:
         own = [(dict(zip(FEATURES, values)), n) for values, n in rows if values[0] == kind]
         # The strict pattern speaks first; EM then learns how far the others can be trusted.
         soft = [0.5 + 0.4 * r["pattern"] + 0.02 * (r["gazetteer"] + r["context"] + r["shape"]) for r, _ in own]
-        for _ in range(50):
+        for _ in range(rounds):
             yes = sum(p * n for p, (_, n) in zip(soft, own))
             no = sum((1 - p) * n for p, (_, n) in zip(soft, own))
             said: dict[tuple, list[float]] = {}
@@ -211,7 +252,16 @@ def probability(span: Column, weights: dict[str, float]) -> Column:
 
 def with_spans(found: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``found`` with ``spans``: base spans and accepted candidates clear of them, by kind as listed, then start."""
-    clear = F.filter("candidates", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # Base spans by start, and the furthest end up to each: what a candidate meets is told by the last one before its end.
+    ordered = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+
+    def apart(base: Column) -> Column:
+        starts, ends = base["starts"], base["ends"]
+        meets = lambda s: F.coalesce(F.get(ends, below(starts, s["end"]) - 1) > s["start"], F.lit(False))
+        return F.filter("candidates", lambda s: ~meets(s))
+
+    tables = lambda spans: F.struct(spans["start"].alias("starts"), running(spans["end"], F.greatest).alias("ends"))
+    clear = _let(ordered, lambda spans: _let(tables(spans), apart))
     added = F.filter(clear, lambda s: probability(s, weights) >= THRESHOLD)
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int")
     plain = lambda s: F.struct(rank(s).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
@@ -226,14 +276,15 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in angle brackets; of spans that overlap, the first to start counts."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        parts = F.concat(state["parts"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        return F.when(s["start"] < state["at"], F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))).otherwise(
-            F.struct(s["end"].alias("at"), parts.alias("parts"))
-        )
 
-    done = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, done)).otherwise(text)
+    def joined(parts: Column) -> Column:
+        wide, own, ends = parts["wide"], parts["spans"], parts["ends"]
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        name = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        # What is left between the spans so far and a span that begins after them; one that begins earlier only adds to them.
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(_cut(wide, before(i), s["start"]), name(s))).otherwise("")
+        rest = _cut(wide, F.element_at(ends, -1), (F.octet_length(wide) / 4).cast("int"))
+        return F.concat(F.array_join(F.transform(own, piece), ""), rest)
+
+    parts = lambda own: F.struct(_wide(text).alias("wide"), own.alias("spans"), running(own["end"], F.greatest).alias("ends"))
+    return F.when(F.size(spans) > 0, _let(ordered, lambda own: _let(parts(own), joined))).otherwise(text)

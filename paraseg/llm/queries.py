@@ -70,6 +70,8 @@ def op7_pii(spark, sf_dir):
     return spans.select(
         "doc_id", *map(number, ["email", "ip", "card", "phone"]),
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
 
 

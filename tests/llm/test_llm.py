@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -292,6 +293,76 @@ def test_pii_base_spans_and_redaction(spark):
     assert next(r for r in rows if r[0] == 1)[3] == "<PHONE>"
 
 
+def plain_em(rows, rounds):
+    """Posteriors of candidates of one kind, a row each: labelers are independent given the truth."""
+    names = ["pattern", "gazetteer", "context", "shape"]
+    votes = np.array([[r[n] for n in names] for r in rows])
+    p = 0.5 + 0.4 * votes[:, 0] + 0.02 * votes[:, 1:].sum(1)
+    for _ in range(rounds):
+        odds = np.full(len(rows), np.log((p.sum() + 0.1) / ((1 - p).sum() + 0.1)))
+        for k in range(4):
+            for v in (-1, 0, 1):
+                on = votes[:, k] == v
+                odds[on] += np.log((p[on].sum() + 0.1) / (p.sum() + 0.3)) - np.log(((1 - p)[on].sum() + 0.1) / ((1 - p).sum() + 0.3))
+        p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    return p
+
+
+def test_pii_expectation_maximisation_equals_a_plain_rendering(spark):
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"call +{rng.choice(['1', '49', '999'])} {number(3)} {number(3)}-{number(4)} now" for _ in range(60)]
+    texts += [f"page {number(4)} {number(4)} {number(3)}" for _ in range(60)] + [f"tel {number(3)}-{number(3)}-{number(4)}" for _ in range(60)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = [c.asDict() for r in found.select("candidates").collect() for c in r[0] if c["kind"] == "phone"]
+    assert len(rows) > 100
+    for rounds in (0, 1, 7, pii.ROUNDS):
+        weights, p = pii.fit(found, rounds), plain_em(rows, rounds)
+        assert weights["phone"] == pytest.approx(np.log((p.sum() + 0.1) / ((1 - p).sum() + 0.1)), abs=1e-6)
+        for name in ("pattern", "length", "spaced"):
+            values = sorted({r[name] for r in rows})
+            for v in values:
+                on = np.array([r[name] == v for r in rows])
+                a, b = p[on].sum(), (1 - p)[on].sum()
+                expected = np.log((a + 0.1) / (p.sum() + len(values) * 0.1)) - np.log((b + 0.1) / ((1 - p).sum() + len(values) * 0.1))
+                assert weights[f"phone:{name}:{v}"] == pytest.approx(expected, abs=1e-6)
+    # Hidden addresses, on which the strict pattern is silent: the other labelers decide, as far as they can be trusted.
+    mails = [f"contact u{i}@host{i}.com" for i in range(80)] + [f"contact u{i} [at] host{i} [dot] com" for i in range(30)]
+    mails += [f"page no. u{i}(at)host{i}(dot){'q' * 90}" for i in range(60)]
+    found = pii.find(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"))
+    rows = [c.asDict() for r in found.select("candidates").collect() for c in r[0] if c["kind"] == "email"]
+    before, after = plain_em(rows, 0), plain_em(rows, pii.ROUNDS)
+    hidden = np.array([r["pattern"] == 0 for r in rows])
+    known = np.array([r["gazetteer"] == 1 for r in rows])
+    assert before[hidden].max() < 0.6 < 0.9 < after[hidden & known].min() and after[hidden & ~known].max() < 0.1
+    taken = [pii.with_spans(found, pii.fit(found, n)).filter("size(spans) > 0").count() for n in (0, pii.ROUNDS)]
+    assert taken[1] == 110 != taken[0]
+
+
+def test_pii_of_many_matches_long_secrets_and_overlaps(spark):
+    many = "é ".join(f"u{i}@x.com" for i in range(30_000)) + " 10.0.0.1@y.org"
+    secret = 'token = "' + "aB3" * 2000 + '"'
+    found = pii.find(spark.createDataFrame([(1, many), (2, secret), (3, "+1 2 3 4 5 6 7 8 9@z.net x")], "doc_id long, text string"))
+    spans = pii.with_spans(found, {"secret": 9.0, "email": -9.0, "phone": -9.0, "card": -9.0, "ip": -9.0})
+    rows = {r["doc_id"]: r for r in spans.select("doc_id", "spans", pii.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert len(rows[1]["spans"]) == 30_002
+    assert rows[1]["clean"] == "é ".join(["<EMAIL>"] * 30_000) + " <IP>"
+    assert [(s["kind"], s["start"], s["end"]) for s in rows[2]["spans"]] == [("secret", 0, len(secret))] and rows[2]["clean"] == "<SECRET>"
+    # The address begins inside the number: what both cover goes.
+    assert rows[3]["clean"] == "<PHONE> x"
+
+
+def test_running_totals_and_binary_search(spark):
+    rng = random.Random(1)
+    rows = [(sorted(rng.choices(range(50), k=n)), [rng.randrange(60) for _ in range(n)], rng.randrange(60)) for n in [*range(20), 1000]]
+    got = spark.createDataFrame(rows, "a array<int>, b array<int>, v int").select(
+        "a", "b", "v", pii.running(F.col("b"), lambda x, y: x + y).alias("sums"), pii.running(F.col("b"), F.greatest).alias("most"), pii.below(F.col("a"), F.col("v")).alias("n"),
+    )
+    for r in got.collect():
+        assert r["sums"] == list(itertools.accumulate(r["b"])) and r["most"] == list(itertools.accumulate(r["b"], max))
+        assert r["n"] == sum(x < r["v"] for x in r["a"])
+
+
 def test_pii_without_candidates(empty, edges):
     for docs in (empty, edges):
         found = pii.find(docs)
