@@ -1,7 +1,8 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is good or bad. Its features, and those of the lines before and after it, weigh on its label, and labels weigh on
-their neighbours. Training takes a bounded sample of labelled documents whose lines carry the document's label. A
+their neighbours: both are learnt, by gradient ascent on the likelihood of the line labels of a text, with one ridge.
+Training takes a bounded sample of labelled documents whose lines carry the document's label. A
 document's quality is the mean of its lines' forward-backward marginals, weighted by length, and a logistic fit on the sample
 turns it into the probability of label 1.
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paraseg.llm.common import arrow_limits, text_slices
+from paraseg.llm.common import arrow_limits, hash_words, text_slices
 
 SAMPLE_DOCS = 4000
 CUTOFF = 0.3
@@ -69,8 +70,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     if len(word):
         at = np.searchsorted(starts, word, "right") - 1
         words = np.bincount(at, minlength=n).astype(float)
-        # A word is taken for the one before it if length, first and last byte are the same.
-        key = (stop - word) * 65536 + data[word].astype(np.int64) * 256 + data[stop - 1]
+        key, _ = hash_words(data, offsets)
         same = np.r_[False, (key[1:] == key[:-1]) & (at[1:] == at[:-1])]
         repeated = np.bincount(at, same, minlength=n) / np.maximum(words, 1)
         marked = np.bincount(at, kinds[stop - 1] >= 5, minlength=n) / np.maximum(words, 1)
@@ -99,10 +99,11 @@ def with_neighbours(features: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.column_stack([features, before, after])
 
 
-def marginals(scores: np.ndarray, counts: np.ndarray, switch: np.ndarray) -> np.ndarray:
-    """Probability that each line is good, by forward-backward over all texts side by side.
+def chain(scores: np.ndarray, counts: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability that each line is good, and of each pair of labels of a line and the one before it in its text.
 
-    ``scores`` are log odds of good by line, ``switch[a, b]`` weights of label a before label b.
+    Forward-backward over all texts side by side. ``scores`` are log odds of good by line, ``switch[a, b]`` weights of
+    label a before label b. The first line of a text has no pair: zeros.
     """
     order = np.argsort(-counts, kind="stable")
     starts = (np.cumsum(counts) - counts)[order]
@@ -121,7 +122,33 @@ def marginals(scores: np.ndarray, counts: np.ndarray, switch: np.ndarray) -> np.
         now = (emit[at + 1] * back[at + 1]) @ trans.T
         back[at] = now / now.sum(1, keepdims=True)
     both = ahead * back
-    return both[:, 1] / both.sum(1)
+    pairs = np.zeros((len(scores), 2, 2))
+    at = np.flatnonzero(inner_lines(counts))
+    pairs[at] = ahead[at - 1][:, :, None] * trans * (emit[at] * back[at])[:, None, :]
+    pairs[at] /= pairs[at].sum((1, 2), keepdims=True)
+    return both[:, 1] / both.sum(1), pairs
+
+
+def inner_lines(counts: np.ndarray) -> np.ndarray:
+    """Which lines have one before them in their text."""
+    inner = np.ones(int(counts.sum()), bool)
+    inner[np.cumsum(counts) - counts] = False
+    return inner
+
+
+def marginals(scores: np.ndarray, counts: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """Probability that each line is good."""
+    return chain(scores, counts, switch)[0]
+
+
+def gradient(x: np.ndarray, counts: np.ndarray, y: np.ndarray, weights: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean over texts of the log likelihood a line of the labels ``y``, less the ridge, by ``weights`` and ``switch``."""
+    good, pairs = chain(x @ weights, counts, switch)
+    share = np.repeat(1 / counts, counts) / len(counts)
+    at = np.flatnonzero(inner_lines(counts))
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), share[at])
+    return x.T @ ((y - good) * share) - RIDGE * weights, seen - np.tensordot(share[at], pairs[at], 1) - RIDGE * switch
 
 
 class Model:
@@ -141,27 +168,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(features, size, counts) + self.level, -500, 500)))
 
 
-def fit(features: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Gradient ascent on the likelihood of the lines' labels given the features; texts count alike, not lines."""
+def fit(features: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: np.ndarray, lines: np.ndarray | None = None) -> Model:
+    """Gradient ascent on the likelihood of the lines' labels (``lines``, or that of their text); texts count alike.
+
+    Where labels never change inside a text, only the ridge and the number of steps bound the weight of a change.
+    """
     x = with_neighbours(features, counts)
-    y = np.repeat(labels, counts).astype(float)
-    starts = np.cumsum(counts) - counts
-    share = size / np.repeat(np.add.reduceat(size, starts), counts)
-    inner = np.ones(len(y), bool)
-    inner[starts] = False
-    weights, switch = np.zeros(x.shape[1]), np.zeros((2, 2))
-    first, second = np.zeros(len(weights)), np.zeros(len(weights))
-    stay = np.zeros(2)
-    seen = len(labels)
-    # Labels of a text agree, so the weight of a change is set from the smoothed count of changes, not left to diverge.
-    pairs = float(inner.sum())
-    stay[:] = min(np.log((pairs + 2) / 2.0), 1.0)
-    switch[0, 0], switch[1, 1] = stay
+    y = np.repeat(labels, counts).astype(float) if lines is None else lines.astype(float)
+    values = np.zeros(x.shape[1] + 4)
+    first, second = np.zeros(len(values)), np.zeros(len(values))
     for step in range(1, STEPS + 1):
-        good = marginals(x @ weights, counts, switch)
-        slope = x.T @ ((y - good) * share) / seen - RIDGE * weights
+        slope = np.concatenate([part.ravel() for part in gradient(x, counts, y, values[:-4], values[-4:].reshape(2, 2))])
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        weights = weights + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        values = values + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    weights, switch = values[:-4], values[-4:].reshape(2, 2)
     model = Model(weights, switch)
     raw = model.raw(features, size, counts)
     slope, level = 1.0, 0.0

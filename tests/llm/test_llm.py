@@ -387,6 +387,42 @@ def test_quality_marginals_equal_enumeration():
     assert np.allclose(got, expected)
 
 
+def plain_likelihood(x, counts, y, weights, switch):
+    """Mean over texts of the log likelihood a line, by enumeration of all label sequences, less the ridge."""
+    total, at = 0.0, 0
+    for n in counts:
+        scores = x[at : at + n] @ weights
+        weight = lambda labels: sum(s * v for s, v in zip(scores, labels)) + sum(switch[a, b] for a, b in zip(labels, labels[1:]))  # noqa: B023, E731
+        every = [weight([(code >> i) & 1 for i in range(n)]) for code in range(2**n)]
+        total += (weight([int(v) for v in y[at : at + n]]) - np.log(np.exp(every).sum())) / n
+        at += n
+    return total / len(counts) - quality.RIDGE / 2 * ((weights**2).sum() + (switch**2).sum())
+
+
+def test_quality_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 1, 5, 2])
+    x, y = rng.normal(size=(11, 4)), rng.integers(0, 2, 11)
+    weights, switch = rng.normal(size=4), rng.normal(size=(2, 2))
+    found = np.concatenate([part.ravel() for part in quality.gradient(x, counts, y.astype(float), weights, switch)])
+    values, step = np.concatenate([weights, switch.ravel()]), 1e-5
+    for k in range(8):
+        moved = [plain_likelihood(x, counts, y, v[:4], v[4:].reshape(2, 2)) for v in (values + step * np.eye(8)[k], values - step * np.eye(8)[k])]
+        assert found[k] == pytest.approx((moved[0] - moved[1]) / (2 * step), abs=1e-7)
+
+
+def test_quality_learns_how_labels_change():
+    rng = np.random.default_rng(5)
+    counts = np.full(200, 8)
+    features, size = rng.normal(size=(1600, len(quality.NAMES))) * 0.1, np.ones(1600)
+    same = np.repeat(rng.integers(0, 2, 200), 8)
+    turning = (np.arange(1600) + np.repeat(rng.integers(0, 2, 200), 8)) % 2
+    labels = rng.integers(0, 2, 200)
+    kept, turned = (quality.fit(features, size, counts, labels, lines).switch for lines in (same, turning))
+    assert kept[0, 0] + kept[1, 1] > 1 + kept[0, 1] + kept[1, 0]
+    assert turned[0, 1] + turned[1, 0] > 1 + turned[0, 0] + turned[1, 1]
+
+
 def test_quality_held_out_and_edges(spark, edges, empty):
     rng = random.Random(6)
     good = lambda: "\n".join(words_of(rng, 12) + "." for _ in range(6))
