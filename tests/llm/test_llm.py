@@ -7,14 +7,13 @@ import itertools
 import math
 import random
 import re
-import textwrap
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paraseg.llm import chat, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, pii, quality, warc
+from paraseg.llm import chat, decontaminate, fingerprint, langid, mixing, ngram_join, pii, quality, warc
 from paraseg.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -521,63 +520,3 @@ def test_warc_empty(spark, tmp_path):
     none = spark.createDataFrame([], "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload binary")
     warc.write_warc(none, str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
-
-
-def test_license_rules(spark, edges, empty):
-    texts = {
-        1: "Some words. Released under the MIT License.\nMore.", 2: "Licensed under the Apache License, Version 2.0.\nx\nLicensed under CC BY-NC 4.0.",
-        3: "This program is distributed in the hope of profit.", 4: None,
-        5: ". ".join(s[0] for n, s in license_scan.SENTENCES.items() if n.startswith("bsd")).replace(". ", ".\n"),
-    }
-    found = license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["license"], r["first_sentence"], r["last_sentence"]) for r in found) == [
-        (1, "MIT", 1, 1), (2, "Apache-2.0", 0, 0), (2, "CC-BY-NC-4.0", 2, 2), (5, "BSD-3-Clause", 0, 3),
-    ]
-    assert license_scan.scan(edges).count() == license_scan.scan(empty).count() == 0
-
-
-LICENSE_TEXTS = {
-    "MIT": """MIT License
-
-Copyright (c) 2020 Someone
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
-    "Apache-2.0": """Copyright 2020 Someone
-
-Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
-
-You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
-    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-}
-
-
-def test_license_full_texts_wrapped_and_unwrapped(spark):
-    rows, names = [], []
-    for name, text in LICENSE_TEXTS.items():
-        parts = text.split("\n\n")
-        wrapped = "\n\n".join(textwrap.fill(x, 70) for x in parts)
-        for form in (text, wrapped, textwrap.indent(wrapped, "# ", lambda line: True), " ".join(x.strip() for x in parts)):
-            rows.append((len(rows), form))
-            names.append(name)
-    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    # The whole notice is one match of its longest rule; a heading before it can hide its first sentence on one line.
-    whole = {(r["doc_id"], r["license"]) for r in found if len(license_scan.RULES[r["rule"]][1]) > 2}
-    expected = {(i, n) for i, n in enumerate(names) if i % 4 < 3}
-    assert expected <= whole and len(found) == len({r["doc_id"] for r in found})
