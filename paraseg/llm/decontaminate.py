@@ -170,7 +170,12 @@ def contaminated(
         .withColumn("region", F.struct(F.xxhash64("doc_id").alias("d"), "at", F.xxhash64("shingles").alias("h")))
         .dropDuplicates(["region"])
     )
-    windows = regions.select("region", "shingles").mapInArrow(_marks(member, words, threshold), f"region {regions.schema['region'].dataType.simpleString()}, start int, words int, mark long")
+    # A region's windows are many times its size, so the regions are dealt out anew, however small they are.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    windows = written(
+        regions.select("region", "shingles").repartition(tasks, "region")
+        .mapInArrow(_marks(member, words, threshold), f"region {regions.schema['region'].dataType.simpleString()}, start int, words int, mark long")
+    )
     block = lambda mark, i: F.shiftrightunsigned(mark, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
     split = lambda mark: F.posexplode(F.array(*(block(mark, i) for i in range(BLOCKS)))).alias("block", "bits")
     probes = (
@@ -178,21 +183,22 @@ def contaminated(
         .withColumn("flip", F.explode(F.array(*map(F.lit, FLIPS))))
         .select("item", "words", "item_mark", "block", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
     )
-    near = (
-        windows.select("region", "start", "words", "mark", split("mark"))
+    # Windows of a passage that many documents share have one fingerprint: it is looked up once.
+    near = written(
+        windows.select("words", "mark").distinct().select("words", "mark", split("mark"))
         # The planner takes the probes for as small as the items.
         .join(probes.hint("merge"), ["words", "block", "bits"])
         .filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS)
-        .select("region", "start", "item")
+        .select("words", "mark", "item")
         .distinct()
     )
+    # A window is cut out of its region before it meets its items.
+    window = F.slice("shingles", F.col("start") + 1, F.col("words") - SHINGLE + 1)
     pairs = (
-        near.join(regions, "region")
-        .join(items, "item")
-        .select(
-            "doc_id", "item_id", (F.col("at") + F.col("start")).alias("word_start"), "words",
-            F.slice("shingles", F.col("start") + 1, F.col("words") - SHINGLE + 1).alias("window"), "item_shingles",
-        )
+        windows.join(near, ["words", "mark"])
+        .join(regions, "region")
+        .select("doc_id", "item", (F.col("at") + F.col("start")).alias("word_start"), window.alias("window"))
+        .join(items.select("item", "item_id", "words", "item_shingles"), "item")
     )
     exact = pairs.mapInArrow(_weighted, f"doc_id {kind}, item_id long, word_start int, words int, similarity double")
     best = F.max_by(F.struct("word_start", "words", "similarity"), F.struct("similarity", -F.col("word_start")))
