@@ -8,7 +8,9 @@ cannot give is spread over the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +43,15 @@ def tempered(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]
     return out
 
 
+def stated(spark: SparkSession, weights: dict[str | None, float]) -> DataFrame:
+    """Targets ``(value, target)`` of a margin as they are given, scaled to 1."""
+    total = sum(weights.values())
+    if total <= 0 or min(weights.values()) < 0:
+        raise ValueError(f"Target weights must not be negative, and one at least positive: {weights}")
+    rows = [(NONE if value is None else str(value), weight / total) for value, weight in weights.items()]
+    return spark.createDataFrame(rows, "value string, target double")
+
+
 def cell_counts(docs: DataFrame, margins: list[str]) -> DataFrame:
     """Tokens and documents by cell; ``docs`` has the margins and ``tokens``. Null values are a value of their own."""
     return docs.groupBy(*margins).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
@@ -74,6 +85,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             error = max(error, fit.agg(F.max("e")).first()[0] or 0.0)
         if error < TOLERANCE:
             break
+    else:
+        warnings.warn(f"The targets do not fit together: a margin is off by {error:.2g} of all tokens.", stacklevel=2)
     return cells.drop(*(f"{name}_target" for name in margins))
 
 
@@ -92,12 +105,14 @@ def probabilities(cells: DataFrame, share: float) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, powers: dict[str, float], *, share: float = 0.5, seed: int = 42, topic: Column | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, powers: dict[str, float] | None = None, *, targets: dict[str, dict[str | None, float]] | None = None, share: float = 0.5,
+    seed: int = 42, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with ``topic``, ``tokens``, ``weight`` (of the cell), ``probability`` and ``sampled``.
 
-    ``powers`` names the margins (columns of ``docs``, or ``topic``) and the power that tempers each. A row is sampled
+    ``powers`` names margins (columns of ``docs``, or ``topic``) whose own shares of tokens, raised to a power, are the
+    target; ``targets`` gives the target weights of a margin's values outright (any scale; values not named get none; None
+    is the null value). Targets that no weights can meet together are fitted as far as possible, with a warning. A row is sampled
     when the hash of its id and the seed is below its probability, so repeated ids go together; rows with a null id are
     hashed by text. Null margin values are one value of their own; a null text has no tokens, and a row without tokens
     has probability 0 unless its cell is sampled as a whole. Columns of these names in ``docs`` are replaced.
@@ -106,10 +121,14 @@ def mix(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.drop("weight", "probability", "sampled").withColumn("tokens", F.regexp_count(text, F.lit(WORD)).cast("long"))
     docs = docs.withColumn("topic", topic_of(text) if topic is None else topic)
-    keys = {f"__{name}": F.coalesce(F.col(name).cast("string"), F.lit(NONE)) for name in powers}
+    powers, targets = powers or {}, targets or {}
+    if not powers and not targets or set(powers) & set(targets):
+        raise ValueError("Every margin needs a power or targets, and not both.")
+    keys = {f"__{name}": F.coalesce(F.col(name).cast("string"), F.lit(NONE)) for name in [*powers, *targets]}
     keyed = docs.withColumns(keys)
     cells = written(cell_counts(keyed, list(keys)))
-    cells = probabilities(rake(cells, tempered(cells, {f"__{n}": p for n, p in powers.items()})), share)
+    wanted = {**tempered(cells, {f"__{n}": p for n, p in powers.items()}), **{f"__{n}": stated(docs.sparkSession, t) for n, t in targets.items()}}
+    cells = probabilities(rake(cells, wanted), share)
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), text)), 11) / F.lit(float(1 << 53))
     chosen = keyed.join(written(cells.select(*keys, "weight", "probability")), list(keys))
     return chosen.withColumn("sampled", drawn < F.col("probability")).drop(*keys)

@@ -255,6 +255,24 @@ def test_rake_fits_every_margin(spark):
     assert abs(mixed[mixed.sampled].tokens.sum() / mixed.tokens.sum() - 0.4) < 0.1
 
 
+def test_mix_takes_target_weights(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words_of(rng, rng.randrange(1, 60)), rng.choice(["a", "a", "a", "b", None]), rng.choice("xy")) for i in range(900)], "doc_id long, text string, source string, lang string")
+    mixed = mixing.mix(docs, {"lang": 1.0}, targets={"source": {"a": 1, "b": 2, None: 1}}, share=0.3).toPandas()
+    cells = mixed.drop_duplicates(["source", "lang"])
+    assert np.allclose(cells.groupby(cells.source.fillna("-")).weight.sum()[["a", "b", "-"]], [0.25, 0.5, 0.25], atol=1e-5)
+    expected = (mixed.tokens * mixed.probability).groupby(mixed.source.fillna("-")).sum()
+    assert np.allclose(expected / expected.sum(), [0.25, 0.25, 0.5], atol=1e-5)
+    left_out = mixing.mix(docs, targets={"source": {"a": 1}}).filter("sampled").select("source").distinct().collect()
+    assert [r[0] for r in left_out] == ["a"]
+    for bad in ({"powers": {}}, {"powers": {"lang": 1.0}, "targets": {"lang": {"x": 1}}}, {"targets": {"lang": {"x": 0}}}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, **bad)
+    apart = docs.filter("(source = 'a') = (lang = 'x')").filter("source is not null")
+    with pytest.warns(UserWarning, match="do not fit together"):
+        mixing.mix(apart, targets={"source": {"a": 9, "b": 1}, "lang": {"x": 1, "y": 9}})
+
+
 def test_mix_edges(edges, empty):
     rows = mixing.mix(edges, {"source": 0.5, "lang": 0.5, "topic": 1.0}).collect()
     assert len(rows) == 7 and all(0 <= r["probability"] <= 1 for r in rows)
