@@ -58,8 +58,9 @@ def running(values: Column, combine) -> Column:
 
     A round makes one array, so an array of n items takes n log n steps; appending to an array n times copies it n times.
     """
-    rounds = F.filter(F.array(*map(F.lit, POWERS)), lambda step: step < F.size(values))
-    return F.aggregate(rounds, values, lambda all_, step: F.transform(all_, lambda x, i: F.when(i >= step, combine(x, F.get(all_, i - step))).otherwise(x)))
+    taken = lambda all_, step: F.transform(all_, lambda x, i: F.when(i >= step, combine(x, F.get(all_, i - step))).otherwise(x))
+    rounds = lambda n: F.filter(F.array(*map(F.lit, POWERS)), lambda step: step < n)
+    return _let(values, lambda own: _let(F.size(own), lambda n: F.aggregate(rounds(n), own, taken)))
 
 
 def below(ascending: Column, value: Column) -> Column:
