@@ -34,7 +34,9 @@ GRAM = 16
 HOT = 1 << 15
 HOT_KEYS = 1 << 20
 MAX_KEYS = 1 << 25
-HELD = 1 << 18
+HELD = 1 << 17
+# Bytes of text at a time: what is held for them is some hundred times as much.
+SLICE = 1 << 17
 LAST = (1 << 63) - 1
 _U = np.uint64
 _BASE = 0x2545F4914F6CDD1D
@@ -97,7 +99,7 @@ def _places(batch: pa.RecordBatch, size: int, member=None, hot=None, only_hot=Fa
     ``member``: a bitmap of the hashes that count; a column ``at`` names the places themselves instead.
     """
     given = batch.column("at") if "at" in batch.schema.names else None
-    for first, end, data, offsets in text_slices(batch.column("text")):
+    for first, end, data, offsets in text_slices(batch.column("text"), SLICE):
         prefixes = Prefixes(data)
         if given is None:
             place = anchors(prefixes, offsets, size)
@@ -449,7 +451,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, hot: int = HOT, max_keys: int = MAX_KEYS, block: int = 1 << 16
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, hot: int = HOT, max_keys: int = MAX_KEYS, block: int = 1 << 15
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, spans, kept)`` of every row: removed byte ranges, and the remaining bytes.
 
