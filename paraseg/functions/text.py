@@ -20,6 +20,7 @@ WHITESPACE_CLASS = (
     r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 )
 LINE_ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+LINE_END = rf"\r\n|[{LINE_ENDS}]"
 # The line ends Spark's text source does not split on.
 EXTRA_LINE_ENDS = r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
@@ -54,7 +55,7 @@ def split_lines(text: Column) -> Column:
     rest_of_line = F.regexp_extract(
         F.substr(text, F.length(body) + 1), f"^[^{LINE_ENDS}]*", 0
     )
-    lines = F.split(F.concat(body, rest_of_line), rf"\r\n|[{LINE_ENDS}]")
+    lines = F.split(F.concat(body, rest_of_line), LINE_END)
     return F.when(body != "", lines).otherwise(F.array().cast("array<string>"))
 
 

@@ -190,3 +190,42 @@ def test_numbers_do_not_hang_on_the_splits_of_a_later_read(spark, tmp_path, late
         for key in {*first, *later}:
             spark.conf.unset(key)
     assert found == {name: list(enumerate(lines("\n".join(held)))) for name, held in texts.items()}
+
+
+@pytest.mark.parametrize("split", ["4000", "128m"])
+def test_many_documents_share_files(spark, tmp_path, split):
+    """10 000 documents in a number of files that follows the bytes; each comes back whole, in order."""
+    texts = F.concat(F.lit("line "), F.col("seg_id").cast("string"), F.lit("\u00e9 "), F.repeat(F.lit("x"), (F.col("seg_id") % 5).cast("int")))
+    sizes = F.when(F.col("n") == 7, 3000).when(F.col("n") % 3 == 0, 1).otherwise(2)
+    rows = spark.range(10_000).select(
+        F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("run_id"), F.concat(F.lit("d\u2028/"), F.col("id").cast("string")).alias("doc_id"),
+        F.col("id").alias("n"),
+    )
+    frame = rows.select("run_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), (sizes - 1).cast("bigint"))).alias("seg_id")).withColumn("text", texts)
+    path, want = str(tmp_path / "w"), sorted(map(tuple, frame.collect()))
+    files.write_segment_files(frame, path, file_bytes=30_000)
+    size = sum(len(t.encode()) + 1 for *_, t in want)
+    names = [sorted(p.name for p in (tmp_path / "w" / f"kind={k}").glob("part-*")) for k in ("lines", "manifest")]
+    assert names[0] == names[1] and size / 30_000 * 0.5 < len(names[0]) <= size / 30_000 + 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert sorted(map(tuple, files.read_segment_files(spark, path).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_shared_files_of_odd_segments(spark, tmp_path):
+    """Null keys and texts, line ends inside, blank lines at the end, gaps in the numbers, no rows at all."""
+    rows = [("r", "a", 0, "x\r\ny"), ("r", "a", 1, None), ("r", "a", 5, "  "), ("r", None, 0, "n"), (None, "a", 2, "\u2028"), ("r", "b", 0, "")]
+    frame = spark.createDataFrame(rows, files.SEGMENT_ROW)
+    files.write_segment_files(frame, str(tmp_path / "w"))
+    found = {}
+    for run, doc, seg, text in files.read_segment_files(spark, str(tmp_path / "w")).collect():
+        found.setdefault((run, doc), {})[seg] = text
+    assert found == {
+        ("r", "a"): {0: "x", 1: "y", 2: "", 3: "  "}, ("r", None): {0: "n"}, (None, "a"): {0: "", 1: ""}, ("r", "b"): {0: ""},
+    }
+    files.write_segment_files(frame.limit(0), str(tmp_path / "none"))
+    assert files.read_segment_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="contains a line end"):
+        files.write_segment_files(frame, str(tmp_path / "e"), on_line_end="error")

@@ -24,8 +24,10 @@ from paraseg.session import shared_dir, written
 from paraseg.sources import naming, records, reports
 from paraseg.sources.pairs import read_pairs
 from paraseg.sources.segments import (
+    read_segment_files,
     read_segment_table,
     read_segments,
+    write_segment_files,
     write_segment_table,
     write_segments,
 )
@@ -90,6 +92,15 @@ def s2_table(spark, sf_dir):
     return rows.select(*SEGMENT, digest("text").alias("text_md5"))
 
 
+@query
+def s2_files(spark, sf_dir):
+    """All documents as aligned text in shared files, cut apart again by the manifest."""
+    path = scratch(spark)
+    write_segment_files(fx.spaced_segments(spark, sf_dir), path, file_bytes=4 << 20)
+    rows = read_segment_files(spark, path)
+    return rows.select(*SEGMENT, digest("text").alias("text_md5"))
+
+
 @query
 def s3_pairs_scan(spark, sf_dir):
     """Any two text columns can be the sides of a pair."""
