@@ -625,3 +625,26 @@ def r6_experiment(spark, sf_dir):
         *RUN, "n_segments", six("bleu"), six("chrf"), six("comet"),
         "calls", "prompt_tokens", "output_tokens", "thinking_tokens", "usd",
     )
+
+
+@query
+def r6_written(spark, sf_dir):
+    """All modes, whole documents too, written below one folder; candidates, records and report as read back from it."""
+    segments, path = fx.segments(spark, sf_dir), scratch(spark)
+    run_experiment(
+        segments, segments, fx.rewriting_translator, fx.MODEL, fx.TARGET, modes=fixed.MODES, scorer=fx.length_ratio, out_dir=path
+    )
+    candidates = reduce(
+        DataFrame.union,
+        [read_segment_table(spark, f"{path}/candidate.{mode}").withColumn("mode", F.lit(mode)) for mode in fixed.MODES],
+    )
+    found = records.read_score_records(spark, f"{path}/scores")
+    of_run = found.groupBy(*RUN).agg(*[F.max(c).alias(c) for c in ("bleu", "chrf", "comet")])
+    report = reports.read_report(spark, f"{path}/report")
+    labels = report.scores.select(*RUN, "model", "n_segments")
+    reported = report.segments.withColumnRenamed("score", "reported")
+    return (
+        candidates.join(records.record_segments(found), SCORED).join(reported, SCORED)
+        .join(of_run, RUN).join(labels, RUN)
+        .select(*SCORED, digest("text").alias("text_md5"), "score", "reported", "bleu", "chrf", "comet", "model", "n_segments")
+    )
