@@ -27,6 +27,18 @@ from paraseg.llm.common import arrow_limits, written
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
+#: Payloads that more than one in so many repeats share are broadcast: at most so many.
+HOT_PAYLOADS = 1000
+#: Files named ``.gz`` are read as they are, in ranges. The line reader takes the codec whose reversed ending sorts last before
+#: the reversed name: this one, which sorts after ``.gz``. Names do not end in it, so no codec applies and the file is cut; one
+#: that did would be read as it is, too, but in one piece.
+NO_ENDING = ".!.gz"
+AS_THEY_ARE = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": NO_ENDING,
+    # The same setting as the client libraries that come with Spark name it.
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": NO_ENDING,
+}
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 RECORD = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary, error string"
 _FIELDS = [x.split()[0] for x in RECORD.split(", ")]
@@ -38,19 +50,29 @@ def with_revisits(pages: DataFrame, *, id_col: str, payload_col: str, least_byte
 
     Of rows with equal payloads of at least ``least_bytes``, that with the largest id is the response, the others revisit
     it. Rows that repeat both id and payload are alike. Null ids are smallest. Payloads are equal if their SHA-1 is.
+    Other columns are kept; those with the names of the new ones are replaced.
+
+    Payloads move by digest. Those that more than a thousandth of all repeats share (a thousand at most, so they are
+    broadcast) and those too short to be revisited are dealt out by id instead.
     """
     rows = pages.withColumn("payload", F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")))
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least_bytes
-    first = (
-        rows.filter(large).groupBy("payload_digest").agg(F.max(id_col).alias("original"), F.count("*").alias("copies"))
-        .filter("copies > 1").drop("copies")
+    first = written(
+        rows.filter(large).groupBy("payload_digest").agg(F.max(id_col).alias("__original"), F.count("*").alias("__copies"))
+        .filter("__copies > 1").withColumnRenamed("payload_digest", "__digest")
     )
-    joined = rows.join(first, "payload_digest", "left")
-    again = large & F.col("original").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("original"))
+    repeats = first.agg(F.sum("__copies")).first()[0] or 0
+    hot = first.filter(F.col("__copies") * HOT_PAYLOADS > repeats).select(F.col("__digest").alias("__hot_digest"), F.col("__original").alias("__hot_original"))
+    marked = rows.join(F.broadcast(hot), large & (F.col("payload_digest") == F.col("__hot_digest")), "left")
+    alone = F.concat(F.lit("alone "), F.xxhash64(id_col).cast("string"))
+    marked = marked.withColumn("__key", F.when(large & F.col("__hot_digest").isNull(), F.col("payload_digest")).otherwise(alone))
+    joined = marked.join(first, F.col("__key") == F.col("__digest"), "left")
+    original = F.coalesce("__hot_original", "__original")
+    again = large & original.isNotNull() & ~original.eqNullSafe(F.col(id_col))
     return joined.withColumns({
-        "record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("original")),
-    }).drop("original")
+        "record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, original),
+    }).drop("__original", "__hot_original", "__hot_digest", "__copies", "__digest", "__key")
 
 
 def _clean(value) -> str:
@@ -193,13 +215,12 @@ def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of gzip-member WARC files; ``error`` says what is wrong with a damaged one.
 
-    File names must not end in ``.gz``: Spark's text reader would inflate such a file as a whole instead of cutting it
-    into ranges. ``write_warc`` names none so.
+    Files named ``.gz`` are cut into ranges like all others.
     Revisits have no payload; their digest and length are those of the full one. Files without records give no rows;
     bytes before a file's first record are skipped.
     """
     arrow_limits(spark)
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    lines = spark.read.options(**AS_THEY_ARE).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     rows = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"))
     found = written(rows.mapInArrow(_scan, f"{RECORD}, file string, range long, place long, opens boolean, piece binary"))
     records = found.filter("file is null").select(*_FIELDS)

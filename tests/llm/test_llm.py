@@ -538,3 +538,43 @@ def test_warc_empty(spark, tmp_path):
     none = spark.createDataFrame([], "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload binary")
     warc.write_warc(none, str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_named_gz_is_read_in_ranges(spark, tmp_path):
+    """Archives under the names they are published by; a range has a part of the file."""
+    import gzip as gz
+
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%s-%d>\r\nContent-Length: %d\r\n\r\n"
+    bodies = {i: random.Random(i).randbytes(200 + 37 * (i % 11)) for i in range(300)}
+    names = ["CC-MAIN-0001.warc.gz", "b!.gz", "~c.GZ"]
+    for name in names:
+        held = [gz.compress(record % (name.encode(), i, len(body)) + body + b"\r\n\r\n") for i, body in bodies.items()]
+        (tmp_path / name).write_bytes(b"".join(held))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        raw = spark.read.options(**warc.AS_THEY_ARE).text(str(tmp_path)).select("_metadata.file_name", "_metadata.file_block_start").distinct()
+        assert raw.groupBy("file_name").count().filter("count > 4").count() == len(names)
+        found = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["record_id"]: bytes(r["payload"]) for r in found} == {f"{n}-{i}": body for n in names for i, body in bodies.items()}
+    assert len(found) == 900 and not any(r["error"] for r in found)
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_revisits_of_odd_pages(spark, monkeypatch, hot):
+    """Short, null and hot payloads, null and repeated ids, columns of the new and of inner names."""
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", hot)
+    long, other = "x" * 1000, "y" * 1200
+    rows = [(i, long) for i in range(20)] + [(30, other), (31, other), (40, "z" * 2000), (50, None), (51, None), (52, "s"), (53, "s"), (None, long), (None, "z" * 2000 + "!"), (31, other)]
+    pages = spark.createDataFrame([(i, h, "k", "k", "k") for i, h in rows], "id long, html string, original string, copies string, refers_to string")
+    found = warc.with_revisits(pages, id_col="id", payload_col="html")
+    assert {"original", "copies"} <= set(found.columns) and not [c for c in found.columns if c.startswith("__")]
+    got = sorted(((r["id"] if r["id"] is not None else -1), r["html"] or "", r["record_type"], r["refers_to"] or -1) for r in found.collect())
+    largest = {long: 19, other: 31}
+    want = sorted(
+        (i if i is not None else -1, h or "", *(("revisit", largest[h]) if h in largest and i != largest[h] else ("response", -1))) for i, h in rows
+    )
+    assert got == want
