@@ -6,7 +6,9 @@ Lists of members by prefix shingle give pairs, which length and position thin ou
 by hash range bound the overlap from above) thins them further, and the whole sets decide, once per pair.
 
 Members of long lists never become rows of pairs: lists with the same smallest member are one group, a group is dealt
-into blocks of bounded size, and a task compares two blocks and returns a spanning forest of the links it finds.
+into blocks of bounded size, and a task compares two blocks and returns a spanning forest of the links it finds. Each block
+first meets a few pivots of its group. What is joined by then needs no comparison inside: of the largest class only the
+other members, few among near copies of one text, are compared with it and with each other, block by block.
 
 Shingles are compared by 64-bit hashes, sets named by 64-bit digests. Counts are kept in a table of fixed size; shingles
 that share a place count together, which changes the order, not the result.
@@ -30,6 +32,8 @@ from paraseg.llm.common import arrow_limits, bitmap_of, components, hash_words,
 COUNT_BITS = 22
 LONG_LIST = 48
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1500
+#: Members of a group of several blocks that all its others are compared with first.
+PIVOTS = 32
 SUFFIX_PARTS = 128
 _U = np.uint64
 _PART = 1 << 16
@@ -239,6 +243,49 @@ def _compare_blocks(percent: int) -> Callable:
     return run
 
 
+def _weights(members: DataFrame, *keys: str) -> DataFrame:
+    """How many blocks hold the members of each group, and how many pivots are about one block long."""
+    blocks = F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("sid") / BLOCK_MEMBERS)) + 1
+    pivots = F.greatest(F.floor(F.lit(BLOCK_SHINGLES) * F.count("sid") / F.sum("n")), F.lit(1))
+    return members.groupBy(*keys).agg(blocks.alias("blocks"), F.least(pivots, F.lit(PIVOTS)).alias("pivots"))
+
+
+def pivot_rows(group: DataFrame) -> DataFrame:
+    """``(leader, sid, block, low, high)``: every block (``high``) of the groups of several with its pivots (block -1)."""
+    large = group.filter("blocks > 1")
+    hashed = F.xxhash64("sid")
+    members = large.select("leader", "sid", F.pmod(hashed, F.col("blocks")).alias("block"))
+    pivots = large.groupBy("leader", "blocks", F.pmod(hashed, F.col("pivots")).alias("slot")).agg(F.min("sid").alias("sid"))
+    last = F.col("blocks") - 1
+    met = pivots.select("leader", "sid", F.lit(-1).cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("high"))
+    both = members.withColumn("high", F.col("block")).unionByName(met)
+    return both.select("leader", "sid", "block", F.lit(-1).cast("long").alias("low"), "high")
+
+
+def block_rows(group: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(leader, sid, block, low, high)``: the pairs of blocks that are left when ``roots(id, root)`` are joined.
+
+    All pairs of members that are not in the largest class of their group, and each of these with each of that class. Groups
+    of one block are compared whole.
+    """
+    classed = written(group.join(roots, group["sid"] == roots["id"], "left").select("leader", "sid", "n", "blocks", F.coalesce("root", "sid").alias("root")))
+    sizes = classed.filter("blocks > 1").groupBy("leader", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("leader").agg(F.max(F.struct("size", "root"))["root"].alias("largest"))
+    sided = classed.drop("blocks").join(largest, "leader", "left").withColumn("rest", ~F.coalesce(F.col("root") == F.col("largest"), F.lit(False)))
+    weight = _weights(sided, "leader", "rest").groupBy("leader").agg(
+        F.coalesce(F.sum(F.when(F.col("rest"), F.col("blocks"))), F.lit(0)).alias("of_rest"),
+        F.coalesce(F.sum(F.when(~F.col("rest"), F.col("blocks"))), F.lit(0)).alias("of_largest"),
+    )
+    hashed = F.xxhash64("sid")
+    block = F.when(F.col("rest"), F.pmod(hashed, F.col("of_rest"))).otherwise(F.col("of_rest") + F.pmod(hashed, F.col("of_largest")))
+    end = F.col("of_rest") + F.when(F.col("rest"), F.col("of_largest")).otherwise(0) - 1
+    return (
+        sided.join(weight.filter("of_rest > 0"), "leader")
+        .select("leader", "sid", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), end)).alias("other"))
+        .select("leader", "sid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+
+
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, long_list: int = LONG_LIST
 ) -> DataFrame:
@@ -292,8 +339,7 @@ def jaccard_components(
         .distinct()
     )
     group = postings.filter(F.col("size") > long_list).select("leader", "sid", "n").distinct()
-    weight = group.groupBy("leader").agg((F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("sid") / BLOCK_MEMBERS)) + 1).alias("blocks"))
-    group = written(group.join(weight, "leader"))
+    group = written(group.join(_weights(group, "leader"), "leader"))
 
     def candidates(ids: DataFrame, name: str) -> DataFrame:
         """One row for each set named by ``ids``; the shingles of other sets stay out of the shuffle."""
@@ -318,14 +364,14 @@ def jaccard_components(
         .join(side(sets, "shingles", "set_b", "b"), "b")
         .mapInArrow(_verify(percent), "a long, b long")
     )
-    blocks = (
-        group.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("leader", "sid", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(sets.select("sid", "n", "shingles"), "sid")
-    )
-    across = blocks.groupBy("leader", "low", "high").applyInPandas(_compare_blocks(percent), "a long, b long")
-    roots = components(written(checked.union(across)))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        with_sets = rows.join(sets.select("sid", "n", "shingles"), "sid")
+        return with_sets.groupBy("leader", "low", "high").applyInPandas(_compare_blocks(percent), "a long, b long")
+
+    joined = written(components(written(checked.union(compared(pivot_rows(group))))))
+    across = compared(block_rows(group, joined))
+    roots = components(joined.select(F.col("id").alias("a"), F.col("root").alias("b")).union(written(across)))
 
     named = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = named.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -578,3 +578,39 @@ def test_revisits_of_odd_pages(spark, monkeypatch, hot):
         (i if i is not None else -1, h or "", *(("revisit", largest[h]) if h in largest and i != largest[h] else ("response", -1))) for i, h in rows
     )
     assert got == want
+
+
+def test_large_group_meets_pivots_first(spark, monkeypatch):
+    """A chain of edits, a second family and strangers in one group: pivots shorten the work and lose no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 25)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
+    rng, rows = random.Random(9), []
+    head = [f"rare{i}" for i in range(6)]
+    for family in range(2):
+        base = [f"w{family}x{i}" for i in range(60)]
+        for k in range(170):
+            if k % 20 == 0:
+                base[rng.randrange(60)] = f"e{family}x{k}"
+            body = list(base)
+            if k % 3:
+                body[rng.randrange(60)] = f"o{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1013, " ".join(head + body)))
+    rows += [(2000 + i, " ".join(head + [f"s{i}x{j}" for j in range(i % 40)])) for i in range(60)]
+    rng.shuffle(rows)
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), long_list=4).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == brute_components(rows)
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark):
+    """Near copies of one text, all joined by the pivots but a few: rows for the comparison in proportion to the group."""
+    sent = {}
+    for n in (20_000, 100_000):
+        ids = spark.range(n).select(F.lit(0).cast("long").alias("leader"), F.col("id").alias("sid"), F.lit(200).alias("n"))
+        group = ngram_join.written(ids.join(ngram_join._weights(ids, "leader"), "leader"))
+        roots = spark.range(n).filter("id > 0 and id % 1000 <> 1").select("id", F.lit(0).cast("long").alias("root"))
+        sent[n] = (ngram_join.pivot_rows(group).count(), ngram_join.block_rows(group, roots).count())
+    assert all(first < 1.1 * n and second < 1.1 * n for n, (first, second) in sent.items())
+    alone = spark.range(0).selectExpr("id", "id as root")
+    rows = ngram_join.block_rows(group, alone)
+    blocks = group.first()["blocks"]
+    assert rows.select("low", "high").distinct().count() >= blocks * (blocks + 1) // 2
