@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import in_mode, segments
 from paraseg.functions import ngrams
+from paraseg.functions.text import remove_whitespace, rstrip, tokens_13a
 from paraseg.operators import metrics
 from paraseg.plans.scoring import score
 from test_text import tokens
@@ -119,6 +121,30 @@ def test_counts_stay_exact_when_keys_are_ranked(spark, monkeypatch):
             assert row["s"][f"match_{n}"] == expected
 
 
+def test_words_and_characters_of_a_batch(spark, monkeypatch):
+    """Texts are taken apart a batch at a time, with the tokens and characters of the column functions."""
+    rng = random.Random(9)
+    alphabet = [*"ab5.,-( '\"é9 _x.,,.,5 /1~&\n\x85\u2003\U0001F600", "<skipped>", "-\n", "&amp;", "&lt;"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(15))) for _ in range(4000)] + ["", " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", rstrip(F.col("t")).alias("line"), tokens_13a(F.col("t")).alias("tokens"), remove_whitespace(F.col("t")).alias("solid")
+    ).collect()
+    words, numbers = ngrams._tokens(pa.array([r["line"].encode() for r in rows], pa.large_binary()))
+    assert words.to_pylist() == [w.encode() for r in rows for w in r["tokens"]]
+    assert list(numbers) == [len(r["tokens"]) for r in rows]
+    monkeypatch.setattr(ngrams, "SLICE_SYMBOLS", 100)
+    monkeypatch.setattr(ngrams, "PIECE_BYTES", 1000)
+    half = len(rows) // 2
+    for count, unit, order, line in ((ngrams._word_pair_stats, "tokens", 4, "line"), (ngrams._char_pair_stats, "solid", 6, "t")):
+        found = count(pa.array([r[line] for r in rows[:half]]), pa.array([r[line] for r in rows[half:]])).to_pylist()
+        for cand, ref, stats in zip(rows[:half], rows[half:], found):
+            for n in range(1, order + 1):
+                c, r = counts(cand[unit], n), counts(ref[unit], n)
+                assert stats[f"match_{n}"] == sum((c & r).values())
+                assert stats[f"ref_{n}"] == sum(r.values())
+                assert stats[f"cand_{n}"] == (0 if unit == "solid" and not r else sum(c.values()))
+
+
 def score_lists(spark, sources, candidates, references, scorer=None):
     return score(
         segments(spark, sources), in_mode(segments(spark, candidates), "sentence"),
