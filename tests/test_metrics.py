@@ -218,3 +218,16 @@ def test_rows_of_like_length_come_together(spark):
     rows = pd.DataFrame({"src": ["s"] * 4, "mt": ["aaaa", "b", None, "cc"], "ref": ["r"] * 4}, index=[5, 6, 7, 8])
     assert metrics._checked(scorer, True)(rows).fillna(-1).tolist() == [0.4, 0.1, -1.0, 0.2]
     assert [x for x in seen[0] if x == x] == [1, 2, 4]
+
+
+def test_scorer_gets_bounded_parts_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SCORED_BYTES", 200)
+    texts = [None if i % 5 == 0 else "x" * (i % 70) for i in range(300)] + ["y" * 500]
+    frame = spark.createDataFrame([("r", "d", i, "m", t, t, t) for i, t in enumerate(texts)], "run_id string, doc_id string, seg_id long, mode string, src string, cand string, ref string")
+
+    def held(batch):
+        assert len(batch) == 1 or batch.map(lambda t: len(t or "")).to_numpy().sum() <= 200
+        return batch["mt"].str.len()
+
+    rows = metrics.score_segments(frame.coalesce(1), held).collect()
+    assert {r["seg_id"]: r["score"] for r in rows} == {i: None if t is None else len(t) for i, t in enumerate(texts)}
