@@ -3,7 +3,8 @@
 Texts are UTF-8 bytes. A byte goes if a string of ``size`` bytes that covers it also starts in a document with a smaller id.
 
 1. Every string of ``size`` bytes names one of its ``GRAM``-byte places, its anchor: the one whose hash is least. Equal
-   strings name equal anchors, and one place in 18 is one. Places whose hash is in a single text are out.
+   strings name equal anchors, and one place in 18 is one. Places whose hash is in a single text are out: hashes meet by
+   ranges of their low bits, since the high ones, being least, crowd near 0.
 2. The bytes around each remaining anchor, as far as a string that covers it can reach, are its surroundings. Equal
    surroundings are one row with the smallest and largest document.
 3. Rows with the same anchor hash meet. Their suffixes from the anchor on, and their reversed prefixes before it, are
@@ -35,6 +36,7 @@ HOT = 1 << 15
 HOT_KEYS = 1 << 20
 MAX_KEYS = 1 << 25
 HELD = 1 << 17
+RANGES = 1 << 10
 # Bytes of text at a time: what is held for them is some hundred times as much.
 SLICE = 1 << 17
 LAST = (1 << 63) - 1
@@ -131,11 +133,16 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
-_PACKED = [("hi", "<u2"), ("lo", "<u4"), ("t_lo", "<u4"), ("t_hi", "<u2"), ("n", "<u2")]
+_PACKED = [("lo", "<u2"), ("hi", "<u4"), ("t_lo", "<u4"), ("t_hi", "<u2"), ("n", "<u2")]
+_WIDTH = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
 
 
 def _packed_keys(size: int, parts: int) -> Callable:
-    """Anchor hashes of a task by range: sorted, with one or two of the texts that hold each and how many places do."""
+    """Anchor hashes of a task by range: sorted, with one or two of the texts that hold each and how many places do.
+
+    An anchor has the least high half around it, so ranges of whole hashes would put a sixth of them into one of a hundred.
+    The low bits come first here: they took no part in the choice, and their ranges are even.
+    """
 
     def packed(held: list) -> Iterator[pa.RecordBatch]:
         key, t = map(np.concatenate, zip(*held))
@@ -148,7 +155,7 @@ def _packed_keys(size: int, parts: int) -> Callable:
         key, t, n = np.r_[key[at], key[at][two]], np.r_[t[at], t[last][two]], np.r_[n, np.zeros(int(two.sum()), np.int64)]
         order = np.argsort(key, kind="stable")
         key, t, n = key[order], t[order], n[order]
-        cuts = np.searchsorted(key, (np.arange(parts + 1) * (1 << _T_BITS) // parts).astype(np.uint64))
+        cuts = np.searchsorted(key, (np.arange(parts + 1) * (1 << 16) // parts).astype(np.uint64) << _U(32))
         numbers, blobs = [], []
         for part, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
             if z > a:
@@ -162,11 +169,11 @@ def _packed_keys(size: int, parts: int) -> Callable:
         for batch in batches:
             t = batch.column("t").to_numpy(zero_copy_only=False).view(np.uint64) & _U((1 << _T_BITS) - 1)
             for row, _, key, *_ in _places(batch, size):
-                held.append((key >> _U(64 - _T_BITS), t[row]))
+                held.append(((key >> _U(16) & _U(0xFFFF)) << _U(32) | key >> _U(32), t[row]))
                 size_held += len(row)
-            if size_held >= 4 * HELD:
-                yield from packed(held)
-                held, size_held = [], 0
+                if size_held >= 4 * HELD:
+                    yield from packed(held)
+                    held, size_held = [], 0
         if size_held:
             yield from packed(held)
 
@@ -174,32 +181,32 @@ def _packed_keys(size: int, parts: int) -> Callable:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes that several texts hold, from rows sorted by range; and how many places hold each."""
+    """The hashes that several texts hold, from rows sorted by range, some whole ranges at a time; and how many places hold each."""
 
     def merged(blobs: list[bytes]) -> pa.RecordBatch:
-        width = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
         planes = [[] for _ in _PACKED]
         for blob in blobs:
-            n, at = len(blob) // width, 0
+            n, at = len(blob) // _WIDTH, 0
             for plane, (_, kind) in zip(planes, _PACKED):
                 plane.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-        hi, lo, t_lo, t_hi, n = (np.concatenate(x).astype(np.int64) for x in planes)
-        key, t = hi << 32 | lo, t_hi << 32 | t_lo
+        lo, hi, t_lo, t_hi, n = (np.concatenate(x).astype(np.int64) for x in planes)
+        key, t = hi << 16 | lo, t_hi << 32 | t_lo
         order = np.argsort(key)
         key, t, n = key[order], t[order], n[order]
         at = _starts(key)
         on = np.minimum.reduceat(t, at) != np.maximum.reduceat(t, at)
         return _batch(["key", "n"], [key[at][on], np.add.reduceat(n, at)[on]])
 
-    now, held = None, []
+    now, held, size_held = None, [], 0
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist()):
-            if part != now and held:
+            if part != now and size_held >= HELD:
                 yield merged(held)
-                held = []
+                held, size_held = [], 0
             now = part
             held.append(blob)
+            size_held += len(blob) // _WIDTH
     if held:
         yield merged(held)
 
@@ -472,7 +479,7 @@ def without_repeats(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part(0).alias("t"), part(1).alias("u"),
     )
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = rows.select("t", "text")
     shared = written(
         texts.mapInArrow(_packed_keys(size, parts), "part int, keys binary")

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,46 @@ def test_repeats_in_texts_beyond_a_slice(spark):
     assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in found} == {1: (0, long.encode()), 2: (80, b"xy"), 3: (700_000, b"z")}
 
 
+def test_shared_hashes_meet_in_even_ranges_a_bounded_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", 1 << 11)
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(300)]
+    texts += [texts[i][:1000] + texts[i + 1][:500] for i in range(0, 40, 2)] + ["-" * 900, "", "-" * 80]
+    batches = [pa.record_batch({"t": pa.array(range(i + 1, i + 1 + len(x))), "text": pa.array(x)}) for i in range(0, len(texts), 20) if (x := texts[i : i + 20])]
+
+    places = [(int(k) >> 16, i + int(r)) for i, b in zip(range(0, len(texts), 20), batches) for row, _, key, *_ in suffix_dedup._places(b, 50) for r, k in zip(row, key)]
+    holders, counts = {}, {}
+    for key, text in places:
+        holders.setdefault(key, set()).add(text)
+        counts[key] = counts.get(key, 0) + 1
+    expected = {key: counts[key] for key, held in holders.items() if len(held) > 1}
+    assert len(expected) > 500
+
+    parts = 32
+    rows = [row for b in suffix_dedup._packed_keys(50, parts)(iter(batches)) for row in b.to_pylist()]
+    entry = sum(np.dtype(kind).itemsize for _, kind in suffix_dedup._PACKED)
+    sizes = np.zeros(parts, np.int64)
+    for row in rows:
+        sizes[row["part"]] += len(row["keys"]) // entry
+    assert sizes.sum() > 32_000 and sizes.max() < 1.3 * sizes.mean()
+
+    rows.sort(key=lambda row: row["part"])
+    found, most, sent = [], 0, 0
+
+    def one_by_one():
+        nonlocal most, sent
+        for row in rows:
+            sent += len(row["keys"]) // entry
+            yield pa.record_batch({"part": pa.array([row["part"]], pa.int32()), "keys": pa.array([row["keys"]], pa.binary())})
+
+    for b in suffix_dedup._shared_keys(one_by_one()):
+        most, sent = max(most, sent), 0
+        found += zip(b.column("key").to_pylist(), b.column("n").to_pylist())
+    assert len(found) == len(expected) and dict(found) == expected
+    # Some whole ranges at a time: no more than the bound and one range besides.
+    assert 1 << 11 <= most <= (1 << 11) + 2 * sizes.max()
+
+
 def test_sorted_groups_survive_useless_hashes(monkeypatch):
     rng = np.random.default_rng(1)
     symbols = rng.integers(1, 3, (300, 12)).astype(np.int16)
