@@ -15,7 +15,8 @@ Texts are UTF-8 bytes. A byte goes if a string of ``size`` bytes that covers it
    the spans of a document are merged.
 
 An anchor hash with more than ``hot`` places is not sorted in one task: the strings around it are grouped by their bytes.
-The hashes that are left after step 1 are handed out as a bitmap up to ``max_keys``; beyond, places are joined to the texts.
+The hashes that are left after step 1 are handed out as a bitmap of at most 64 MB up to ``max_keys``; beyond, places are
+joined to the texts. A bitmap can let an unshared hash pass: it meets no other text in step 3.
 Surroundings are joined by two 64-bit hashes, texts by 120 bits of their SHA-256.
 """
 
@@ -34,7 +35,9 @@ SIZE = 50
 GRAM = 16
 HOT = 1 << 15
 HOT_KEYS = 1 << 20
-MAX_KEYS = 1 << 25
+MAX_KEYS = 1 << 28
+# The bitmap of shared hashes has 16 places a key, but 64 MB at most: fuller, it lets more of the others pass, which step 3 drops.
+MEMBER_BITS = 29
 HELD = 1 << 17
 RANGES = 1 << 10
 # Bytes of text at a time: what is held for them is some hundred times as much.
@@ -492,9 +495,10 @@ def without_repeats(
     hot_list = spark.sparkContext.broadcast(hot_keys) if len(hot_keys) else None
     member, found = None, rows.select("id", "t", "u", "text")
     if count <= max_keys:
-        member = spark.sparkContext.broadcast(bitmap_of(shared, "key", max(16, (16 * max(count, 1)).bit_length())))
+        member = spark.sparkContext.broadcast(bitmap_of(shared, "key", max(16, min(MEMBER_BITS, (16 * max(count, 1)).bit_length()))))
     else:
-        at = texts_with_places(found.select("t", "u", "text"), shared, size)
+        # Read by three passes.
+        at = written(texts_with_places(found.select("t", "u", "text"), shared, size))
         found = found.join(at, ["t", "u"])
 
     fields = "key long, mark long, shape int, around binary, low long, high long"

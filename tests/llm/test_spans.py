@@ -60,6 +60,25 @@ def test_repeats_equal_brute_force(spark, options):
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in found], key=repr) == expected
 
 
+def test_crowded_bitmap_changes_no_result(spark, monkeypatch):
+    """The bitmap of shared hashes stays within its size; what it lets pass besides is dropped, and no text is joined to its places."""
+    rows, sizes, before = shared_passages(random.Random(5)), [], suffix_dedup.bitmap_of
+
+    def crowded(keys, column, bits):
+        sizes.append(bits)
+        return np.full_like(before(keys, column, bits), 255)
+
+    monkeypatch.setattr(suffix_dedup, "MEMBER_BITS", 17)
+    monkeypatch.setattr(suffix_dedup, "bitmap_of", crowded)
+    monkeypatch.setattr(suffix_dedup, "texts_with_places", None)
+    found = suffix_dedup.without_repeats(frame(spark, rows)).collect()
+    expected = plain_repeats([(i, t.encode()) for i, t in rows], 50)
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in found], key=repr) == expected
+    assert sizes and max(sizes) <= 17
+    # 6 GB of documents share about 38 million hashes: well within the bitmap.
+    assert suffix_dedup.MAX_KEYS >= 4 * 38_000_000
+
+
 def test_repeats_in_odd_rows(spark):
     text = "0123456789" * 6
     rows = [(2, text), (2, text), (2, text[:55]), (None, text), (None, None), (5, ""), (6, None), (7, "short"), (8, text + "!")]
